@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +94,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start, base = end, int(sizes[end - 1])
 
 
+_BYTE_VALUES = np.random.default_rng(20251).integers(0, 2**64, 256, np.uint64)
+
+
 class Words:
     """Lower-cased words of a slice of texts: `ids` into `names`, text i at offsets[i]:offsets[i+1].
     Null and empty texts have no words."""
@@ -119,9 +121,23 @@ class Words:
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash for each name."""
-        digest = xxhash.xxh3_64_intdigest
-        return np.fromiter((digest(x, seed) for x in self.names.to_pylist()), np.uint64, len(self.names))
+        """A 64-bit hash for each name: a polynomial in random values of its bytes modulo 2^64, scrambled."""
+        names = self.names.cast(pa.large_binary())
+        if not len(names):
+            return np.empty(0, np.uint64)
+        _, ends, data = names.buffers()
+        ends = np.frombuffer(ends, np.int64)[names.offset : names.offset + len(names) + 1]
+        size = np.diff(ends)
+        if data is None or not size.any():
+            return mix64(size.astype(np.uint64) + np.uint64(seed))
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        start = np.repeat(ends[:-1] - ends[0], size)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+            term = _BYTE_VALUES[raw] * powers[np.arange(len(raw)) - start]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(term)))
+            total = sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+            return mix64(total + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
