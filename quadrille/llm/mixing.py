@@ -83,6 +83,7 @@ def mix_sources(
     u = uniform(seed, key)
     ratio = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     slot = F.least(F.greatest(F.floor(F.log(F.col("q")) * (BINS / 128.0) + BINS / 2), F.lit(0)), F.lit(BINS - 1))
+    slot = F.when(F.col("q").isNotNull(), slot)  # greatest and least pass nulls over
     drawn = Table(drawn.withColumn("q", ratio).withColumn("bin", slot).select("id", "source", "source_key", "x", "h", "times", "occ", "take", "whole", "q", "bin"), "mix_drawn")
     bins = drawn.df.groupBy("source_key", "bin").agg(F.count("q").alias("n"), F.sum("whole").alias("whole"), F.max("take").alias("take"))
     need = F.max("take").over(W.partitionBy("source_key")) - F.sum("whole").over(W.partitionBy("source_key"))
