@@ -87,13 +87,17 @@ def timestamp_text(c: Column) -> Column:
 
 
 def lexical(v: Value) -> Column:
-    """The lexical form of a literal of a static kind."""
+    """The lexical form of a literal of a static kind; a constant keeps its own."""
+    if isinstance(v.const, R.Literal):
+        return F.lit(v.const.value)
     return {"dec": decimal_text, "dt": timestamp_text}.get(v.kind, lambda c: c.cast("string"))(v.col)
 
 
 def to_term(v: Value) -> Column:
     if v.kind == "term":
         return v.col
+    if v.const is not None:
+        return R.constant(v.const)
     if v.kind == "iri":
         return struct(R.K_IRI, v.iri)
     if v.kind == "lang":

@@ -156,26 +156,29 @@ def join(left: Relation, right: Relation, how: str = "inner", extra: Condition |
     return Relation(df.select(*map(col, out.columns())) if held else df.select(F.lit(0).alias("#")), held, frozenset(certain))
 
 
-def union(left: Relation, right: Relation) -> Relation:
-    """Solutions of both; a variable of one side alone is unbound in the other's."""
-    names = list(dict.fromkeys([*left.held, *right.held]))
-    sides = []
+def union(*parts: Relation) -> Relation:
+    """Solutions of all parts; a variable of some parts alone is unbound in the others'."""
+    if len(parts) == 1:
+        return parts[0]
     held: dict[str, Held] = {}
-    for n in names:
-        a, b = left.held.get(n), right.held.get(n)
-        held[n] = a if b is None else b if a is None or a == b else Held("term")
-    for side in (left, right):
+    for r in parts:
+        for n, h in r.held.items():
+            held[n] = h if held.get(n, h) == h else Held("term")
+    sides = []
+    for r in parts:
         cols = []
-        for n in names:
-            if n not in side.held:
-                types = _types(held[n])
-                cols += [F.lit(None).cast(t).alias(c) for c, t in zip(held[n].columns(n), types)]
-            elif side.held[n] == held[n]:
-                cols += [col(c) for c in held[n].columns(n)]
+        for n, h in held.items():
+            if n not in r.held:
+                cols += [F.lit(None).cast(t).alias(c) for c, t in zip(h.columns(n), _types(h))]
+            elif r.held[n] == h:
+                cols += [col(c) for c in h.columns(n)]
             else:
-                cols.append(V.to_term(side.value(n)).alias(n))
-        sides.append(side.df.select(*cols) if cols else side.df.select(F.lit(0).alias("#")))
-    return Relation(sides[0].unionByName(sides[1]), held, left.certain & right.certain)
+                cols.append(V.to_term(r.value(n)).alias(n))
+        sides.append(r.df.select(*cols) if cols else r.df.select(F.lit(0).alias("#")))
+    # columns are in the same order: a balanced tree keeps the plan shallow
+    while len(sides) > 1:
+        sides = [sides[i].union(sides[i + 1]) if i + 1 < len(sides) else sides[i] for i in range(0, len(sides), 2)]
+    return Relation(sides[0], held, frozenset.intersection(*[r.certain for r in parts]))
 
 
 def _types(h: Held) -> list[str]:

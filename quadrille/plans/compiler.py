@@ -141,8 +141,11 @@ class Compiler:
                 if not conditions:
                     return join(left, right, "left")
                 return join(left, right, "left", lambda env: reduce(Column.__and__, [V.truth(self.value(c, env)) for c in conditions]))
-            case A.Union(a, b):
-                return union(self.pattern(a, graph), self.pattern(b, graph))
+            case A.Union():
+                parts = [p]
+                while isinstance(parts[0], A.Union):
+                    parts[:1] = [parts[0].left, parts[0].right]
+                return union(*[self.pattern(x, graph) for x in parts])
             case A.Minus(a, b):
                 return minus(self.pattern(a, graph), self.pattern(b, graph))
             case A.Graph(name, inner):
@@ -169,6 +172,21 @@ class Compiler:
         out = r.assign({name: v}, [name] if v.const is not None else [])
         return out.select([n for n in out.held if n not in {m.name for m in marks.values()}]) if marks else out
 
+    def computed(self, r: Relation, items: Sequence[tuple[str, object]], graph: object = None) -> Relation:
+        """Several expressions under their names; those that don't use each other are one projection."""
+        new: dict[str, Value] = {}
+        env = r.environment()
+        for name, e in items:
+            if A.used(e) & set(new) or _exists(e) or isinstance(e, A.Var):
+                r, new = (r.assign(new, [n for n, v in new.items() if v.const is not None]) if new else r), {}
+                env = r.environment()
+            if _exists(e) or isinstance(e, A.Var):
+                r = self.extended(r, name, e, graph)
+                env = r.environment()
+            else:
+                new[name] = self.value(e, env)
+        return r.assign(new, [n for n, v in new.items() if v.const is not None]) if new else r
+
     def constants(self, names: Sequence[A.Var], rows: Sequence[tuple]) -> Relation:
         """VALUES as a table in the plan."""
         if not rows:
@@ -200,11 +218,20 @@ class Compiler:
             else:
                 plain.append(t)
         # sequences and inverses are patterns with hidden variables, so that they are joined like any other
-        deep = []
+        deep, excluded = [], {}
         for t in parts:
-            deep += self.flattened(t)
+            for x in self.flattened(t):
+                if isinstance(x.p, A.NotIn) and not x.p.backward:
+                    v = A.Var(f".p{next(self.fresh)}")
+                    excluded[v.name] = [i.value for i in x.p.forward]
+                    x = A.Triple(x.s, v, x.o)
+                deep.append(x)
         plain += [t for t in deep if not isinstance(t.p, A.PATHS)]
         out = self.source.bgp(plain, graph) if plain or not deep else None
+        for name, values in excluded.items():
+            if name in out.held:
+                out = out.where(~V.native(out.value(name)).isin(*values)) if values else out
+                out = out.select([n for n in out.held if n != name])
         for t in deep:
             if isinstance(t.p, A.PATHS):
                 r = self.path(t.p, t.s, t.o, graph)
@@ -228,7 +255,7 @@ class Compiler:
         names = [x.name for x in (graph, s, o) if isinstance(x, A.Var)]
         match p:
             case A.Alternative(parts):
-                return reduce(union, [self.basic([A.Triple(s, x, o)], graph) for x in parts])
+                return union(*[self.basic([A.Triple(s, x, o)], graph) for x in parts])
             case A.NotIn(forward, backward):
                 sides = []
                 for excluded, a, b in ((forward, s, o), (backward, o, s)):
@@ -238,7 +265,7 @@ class Compiler:
                         if excluded and v.name in r.held:
                             r = r.where(~V.native(r.value(v.name)).isin(*[x.value for x in excluded]))
                         sides.append(r.select(names))
-                return reduce(union, sides)
+                return union(*sides)
             case A.Repeat(inner, least, many):
                 return self.repeated(inner, least, many, s, o, graph)
         return self.basic([A.Triple(s, p, o)], graph)
@@ -294,9 +321,7 @@ class Compiler:
             items = [(v, None if e is None else _swap(e, new)) for v, e in items]
             order = [(_swap(e, new), d) for e, d in order]
             r = self.filtered(r, [_swap(e, new) for e in having], graph)
-        for v, e in items:
-            if e is not None:
-                r = self.extended(r, v.name, e, graph)
+        r = self.computed(r, [(v.name, e) for v, e in items if e is not None], graph)
         names = list(dict.fromkeys(v.name for v, _ in items))
         keys: list[Column] = []
         if order:

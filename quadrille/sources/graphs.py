@@ -186,19 +186,23 @@ class MappedGraph:
                     return none
         if free:
             # all triples of a row are made at once; the row is read once however many columns there are
-            pairs = [F.struct(F.lit(t.predicate(c)).alias("p"), V.to_term(self._object(t, c)).alias("o")) for c in t.columns]
-            pairs.append(F.struct(F.lit(R.TYPE).alias("p"), R.constant(R.IRI(t.rdf_class)).alias("o")))
+            values = [(t.predicate(c), self._object(t, c)) for c in t.columns] + [(R.TYPE, Value("iri", F.lit(t.rdf_class)))]
             for i, x in enumerate(free):
-                df = df.select("*", F.explode(F.array(*pairs)).alias(f"#{i}")).where(F.col(f"#{i}.o").isNotNull())
+                fixed = not isinstance(x.o, Var)
+                pairs = []
+                for name, v in values:
+                    # of a known object only the columns that can hold it are read
+                    hit = self._constant(v, x.o) if fixed else v.bound
+                    if hit is not None:
+                        pair = F.struct(F.lit(name).alias("p")) if fixed else F.struct(F.lit(name).alias("p"), V.to_term(v).alias("o"))
+                        pairs.append(F.when(hit, pair))
+                if not pairs:
+                    return none
+                df = df.select("*", F.explode(F.array_compact(F.array(*pairs))).alias(f"#{i}"))
                 put(x.p, Value("iri", F.col(f"#{i}.p")))
-                o = Value("term", F.col(f"#{i}.o"))
-                if isinstance(x.o, Var):
-                    put(x.o, o)
-                else:
-                    conditions.append(o.col == R.constant(x.o))
-        for c in conditions:
-            df = df.where(c)
-        return _relation(df, env)
+                if not fixed:
+                    put(x.o, Value("term", F.col(f"#{i}.o")))
+        return _relation(df.where(reduce(Column.__and__, conditions)) if conditions else df, env)
 
     def bgp(self, triples: Sequence[Triple], graph: object = None) -> Relation:
         if not triples:
@@ -234,7 +238,7 @@ class MappedGraph:
                 tables = {n: x for n, x in tables.items() if x.graph == graph.value}
             if not tables:
                 return empty(self.spark, names)
-            relation = reduce(union, [self._star(x, subject, own, graph) for x in tables.values()])
+            relation = union(*[self._star(x, subject, own, graph) for x in tables.values()])
             constants = sum(not isinstance(x, Var) for t in own for x in (t.s, t.o))
             parts.append((constants, relation))
         return reduce(join, ordered(parts))
