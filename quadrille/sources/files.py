@@ -101,7 +101,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def read_whole(spark: SparkSession, path: str, form: str, base: str = "") -> DataFrame:
     """Quads of files that are parsed whole. Without a base, a file's own place is the base."""
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.input_file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
