@@ -44,11 +44,13 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     alone = words.offsets[:-1][sizes == 1]
     h = np.concatenate((pair[inside], mix64(tokens[alone])))
     t = np.concatenate((text[:-1][inside], text[alone]))
-    # repeats within a text are neighbours once sorted by text and hash; a slice's texts take few bits of the key
-    spare = np.uint64(max(1, int(len(sizes)).bit_length()))
-    key = np.sort(t.astype(np.uint64) << (np.uint64(64) - spare) | h >> spare)
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    return key << spare, (key >> (np.uint64(64) - spare)).astype(np.int64)
+    # repeats within a text are neighbours once its hashes are sorted; all their bits stay, so that a text's
+    # features are the same in every slice
+    ends = np.flatnonzero(np.r_[t[1:] != t[:-1], True]) + 1 if len(t) else np.zeros(0, np.int64)
+    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+        h[a:b].sort()
+    new = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])] if len(h) else np.zeros(0, bool)
+    return h[new], t[new]
 
 
 def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

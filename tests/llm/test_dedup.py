@@ -54,6 +54,19 @@ def test_large_group_of_near_copies_is_one_set():
     assert len({sets.root(i) for i in range(3000, 5000)}) == 1
 
 
+def test_fingerprints_do_not_depend_on_the_slice():
+    text = prose(7, 300)
+    others = [prose(100 + i, 5 + i % 40) for i in range(1999)]
+    alone = simhash.fingerprints(Words(pa.array([text, "one"])))
+    for n in (1, 2, 300, 2000):
+        batch = [*others[: n - 1], text] if n < 300 else [*others[: n - 2], text, "one"]
+        got = simhash.fingerprints(Words(pa.array(batch)))
+        for all_, mine in zip(got, alone):
+            assert (all_[batch.index(text)] == mine[0]).all()
+            if n >= 300:
+                assert (all_[n - 1] == mine[1]).all()
+
+
 def brute_groups(rows):
     """Connected components of all verified pairs, by position."""
     texts = [r[1] for r in rows]
