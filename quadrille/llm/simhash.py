@@ -1,4 +1,4 @@
-"""SimHash near-dedup: small-world graphs over Hamming distance, one a shard, searched with expanding beams.
+"""SimHash near-dedup: small-world graphs over Hamming distance, one a shard, searched with beams.
 
 A document is a 256-bit SimHash of its word pairs and a sketch of 128 minima by which edges are verified.
 Documents with equal fingerprints are one node. Nodes are sharded by number of word pairs: a verified pair
@@ -27,6 +27,8 @@ SHARD_NODES, TASK_QUERIES = 1 << 17, 1 << 19
 LINKS, SLOTS, HUBS, BEAM, RECALL = 12, 32, 2048, 32, 0.97
 AUDIT = 1024
 _STEP, _BLOCK, _FAR = 4, 1024, 2**14
+#: Queries and nodes of a block of exact search.
+_SCAN, _NODES = 64, 1 << 13
 _NONE = np.uint64(2**64 - 1)
 #: Shards are cut at multiples of this step of the binary logarithm of the number of word pairs.
 _GRAIN = 16
@@ -104,7 +106,7 @@ class Graph:
         self.links = np.full((self.n, SLOTS), -1, np.int32)
         self.far = np.full((self.n, SLOTS), _FAR, np.int16)
         self.size = min(self.n, HUBS)
-        self.beam = BEAM
+        self.beam, self.full = BEAM, 0
         at = self.size
         self._link(np.arange(at), *self._nearest(self.codes[:at], LINKS + 1))
         while at < self.n:
@@ -205,19 +207,23 @@ class Graph:
         return keys & ~one | np.where(keys == _NONE, one, np.uint64(0))
 
     def within(self, q: np.ndarray, radius: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node) pairs within the radius that a beam finds, and the queries whose beams have no others."""
+        """(query, node) pairs within the radius that a beam finds, and the queries whose beams have no others:
+        they are full, or ran out of links, and can't tell whether there are more."""
         keys = self.search(q, beam)
         hit = (keys != _NONE) & (keys >> np.uint64(33) <= np.uint64(radius))
         row, col = np.nonzero(hit)
-        return row, (keys[row, col] >> np.uint64(1) & np.uint64(2**32 - 1)).astype(np.int64), np.flatnonzero(hit.all(1) & (keys.shape[1] < self.size))
+        return row, (keys[row, col] >> np.uint64(1) & np.uint64(2**32 - 1)).astype(np.int64), np.flatnonzero((hit | (keys == _NONE)).all(1) & (hit.sum(1) < self.size))
 
     def audit(self, q: np.ndarray, radius: int) -> float:
         """Widen the beam until it finds RECALL of what exact search finds for the queries, and return the recall.
-        A beam as wide as the graph is exact search."""
+        Queries with full beams, counted in self.full, are searched exactly and don't raise the recall; a beam as
+        wide as the graph is exact search."""
         exact = {(i + a, int(x)) for a in range(0, len(q), 64) for i, x in zip(*np.nonzero(distances(q[a : a + 64], self.codes) <= radius))}
         while True:
             row, node, full = self.within(q, radius, self.beam)
-            whole = set(range(len(q))) - set(full.tolist())  # a full beam is widened for its query alone
+            full = full[np.bincount(row, minlength=len(q))[full] == self.beam]  # beams out of links count with what they found
+            self.full = len(full)
+            whole = set(range(len(q))) - set(full.tolist())
             due = [x for x in exact if x[0] in whole]
             got = len({*zip(row.tolist(), node.tolist())}.intersection(due)) / len(due) if due else 1.0
             if got >= RECALL or self.beam >= self.n:
@@ -259,8 +265,8 @@ class Union:
 def edges_of_shard(ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray, q_sketches: np.ndarray, radius: int = RADIUS, least: float = OVERLAP) -> Union:
     """The verified edges between queries and a shard's nodes, united.
 
-    A query whose beam is full of nodes within the radius has it doubled while that unites it with more; what
-    lies beyond is in the same set by way of those found, as its nodes are queries too."""
+    A query whose beam has nodes within the radius alone is held against every node of the shard: what lies
+    beyond need not be reached by way of those found. Pairs that are in one set by then are passed over."""
     order = np.argsort(mix64(ids.view(np.uint64)), kind="stable")
     ids, codes, sketches = ids[order], codes[order], sketches[order]
     graph, sets = Graph(codes), Union()
@@ -268,22 +274,43 @@ def edges_of_shard(ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_i
     graph.audit(np.concatenate((some[: AUDIT // 2], codes[: AUDIT // 2])), radius)
     for a in range(0, len(q_ids), 1 << 14):
         q = np.arange(a, min(a + (1 << 14), len(q_ids)))
-        beam = graph.beam
-        while len(q):
-            row, node, full = graph.within(q_codes[q], radius, beam)
-            own = q[row]
-            other = ids[node] != q_ids[own]
-            own, node, row = own[other], node[other], row[other]
-            good = overlap(q_sketches[own], sketches[node]) >= least if len(own) else np.zeros(0, bool)
-            grew = set()
-            for r, x, y in zip(row[good].tolist(), q_ids[own[good]].tolist(), ids[node[good]].tolist()):
-                if sets.join(x, y):
-                    grew.add(r)
-            q = q[[r for r in full.tolist() if r in grew or beam == graph.beam]]
-            beam *= 2
+        row, node, full = graph.within(q_codes[q], radius, graph.beam)
+        own = q[row]
+        other = ids[node] != q_ids[own]
+        own, node = own[other], node[other]
+        good = overlap(q_sketches[own], sketches[node]) >= least if len(own) else np.zeros(0, bool)
+        for x, y in zip(q_ids[own[good]].tolist(), ids[node[good]].tolist()):
+            sets.join(x, y)
+        if len(full):
+            _settle(sets, ids, codes, sketches, q_ids[q[full]], q_codes[q[full]], q_sketches[q[full]], radius, least)
     return sets
 
 
+def _settle(sets: Union, ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray, q_sketches: np.ndarray, radius: int, least: float) -> None:
+    """Unite the queries with all nodes that they have verified edges to, by exact search."""
+    root = lambda x: np.array([sets.root(i) for i in x.tolist()], np.int64)
+    label = root(ids)
+    for a in range(0, len(q_ids), _SCAN):
+        mine = root(q_ids[a : a + _SCAN])
+        for b in range(0, len(ids), _NODES):
+            near = distances(q_codes[a : a + _SCAN], codes[b : b + _NODES]) <= radius
+            row, node = np.nonzero(near & (mine[:, None] != label[b : b + _NODES]))
+            for c in range(0, len(row), 1 << 16):
+                r, n = row[c : c + (1 << 16)], node[c : c + (1 << 16)] + b
+                apart = mine[r] != label[n]
+                r, n = r[apart], n[apart]
+                good = overlap(q_sketches[a + r], sketches[n]) >= least
+                pairs = np.unique(np.stack((mine[r[good]], label[n[good]]), 1), axis=0)
+                for x, y in pairs.tolist():
+                    sets.join(x, y)
+                if len(pairs):
+                    old = np.unique(pairs)
+                    new = root(old)
+                    for held in (mine, label):
+                        at = np.minimum(np.searchsorted(old, held), len(old) - 1)
+                        held[:] = np.where(old[at] == held, new[at], held)
+
+
 def components(edges: DataFrame) -> Table:
     """(v, root) of every node of the edges (a, b): root is the least node of its component. Stars are made larger
     and smaller by turns (Kiveris et al. 2014); each round is a table in the shared folder."""

@@ -67,6 +67,23 @@ def test_fingerprints_do_not_depend_on_the_slice():
                 assert (all_[n - 1] == mine[1]).all()
 
 
+def test_dense_families_within_the_radius_are_one_set():
+    rng = np.random.default_rng(4)
+    for size in (20, 64, 200):
+        centre = rng.integers(0, 2, (1, 256), np.uint8)
+        moved = centre.copy()
+        moved[0, rng.choice(256, 40, replace=False)] ^= 1
+        bits = np.concatenate([np.repeat(x, size, 0) ^ (rng.random((size, 256)) < 0.04) for x in (centre, moved)])
+        codes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        ids, sketches = np.arange(len(codes)), np.ones((len(codes), simhash.BINS), np.uint8)
+        sets = simhash.edges_of_shard(ids, codes, sketches, ids, codes, sketches)
+        want = simhash.Union()
+        for i, j in zip(*np.nonzero(simhash.distances(codes, codes) <= simhash.RADIUS)):
+            want.join(int(i), int(j))
+        assert [sets.root(i) for i in range(len(codes))] == [want.root(i) for i in range(len(codes))]
+        assert len({sets.root(i) for i in range(len(codes))}) == 1
+
+
 def brute_groups(rows):
     """Connected components of all verified pairs, by position."""
     texts = [r[1] for r in rows]
