@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,15 @@ _WORD_BREAK = r"[^\pL\pM\pN]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, in
+    which all is one machine; elsewhere an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,12 +49,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """A DataFrame written to the shared folder and read again: it cuts lineage and survives lost executors."""
+    """A DataFrame written to the shared folder and read again: it cuts lineage and survives lost executors.
+
+    Tables that a result still reads can't be dropped by the operator that returns it: see drop_intermediates()."""
+
+    live: dict[str, SparkSession] = {}
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = shared_path(self.spark, name)
         self.schema = df.schema
+        Table.live[self.path] = self.spark
         df.write.option("compression", "zstd").parquet(self.path)
 
     @property
@@ -57,8 +67,9 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        """Delete the files, and let go of the shuffle files of plans that are no longer referenced."""
+        """Delete the files."""
         delete_path(self.spark, self.path)
+        Table.live.pop(self.path, None)
 
     def bytes(self) -> int:
         jvm = self.spark.sparkContext._jvm
@@ -66,10 +77,43 @@ class Table:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop_intermediates() -> None:
+    """Delete all tables of this process in the shared folder. For when the results of operators have been written:
+    frames that were not written before can't be read after."""
+    for path, spark in list(Table.live.items()):
+        delete_path(spark, path)
+        del Table.live[path]
+
+
+def guarded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, with columns of its first argument that begin like the operators' own (__ql_) under other names meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        taken, names = {c.lower() for c in docs.columns}, {}
+        for c in docs.columns:
+            if c.lower().startswith("__ql_"):
+                new = f"column_{len(names)}"
+                while new in taken:
+                    new += "_"
+                names[c] = new
+        if not names:
+            return operator(docs, *args, **kwargs)
+        return operator(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a column, as it stands in a schema."""
+    return df.select(f"`{name}`").schema[0].dataType.simpleString()
+
+
+def integer_ids(df: DataFrame, name: str = "doc_id") -> None:
+    """Raise where a column isn't of an integer type (a column of nulls alone is)."""
+    kind = kind_of(df, name)
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{name} must be an integer, not {kind}")
 
 
 def join_small(left: DataFrame, right: Table, on: list[str], how: str = "inner") -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Words, slices, small_batches, window_hashes
+from .common import BROADCAST_BYTES, Words, kind_of, slices, window_hashes
 
 #: The shortest tile, in words, and the share of a test item's words that tiles must cover.
 MIN_MATCH, COVERAGE = 4, 0.6
-SCHEMA = "doc_id long, item_id long, coverage double, matched_words long, tiles long"
+SCHEMA = "doc_id {kind}, item_id long, coverage double, matched_words long, tiles long"
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
@@ -128,8 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     document is held against every item that it shares a seed with; documents aren't shuffled. A benchmark
     too large to broadcast is taken in parts, each over all documents."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = docs.select("doc_id", F.col("text").alias("text"))
     out = None
     for part in _parts(spark, benchmark, min_match):
 
@@ -140,10 +139,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
                 for at, texts in slices(b.column(1)):
                     found += [(ids[at + t], items.ids[k], c, m, n) for t, k, c, m, n in items.search(Words(texts), coverage)]
                 cols = list(zip(*found)) if found else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                kinds = [b.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "coverage", "matched_words", "tiles"])
 
-        got = rows.mapInArrow(run, SCHEMA)
+        got = rows.mapInArrow(run, SCHEMA.format(kind=kind_of(docs, "doc_id")))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -151,7 +150,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs, with all their columns, in which find_leaks() finds nothing. Null and empty texts stay."""
     spark = docs.sparkSession
-    small_batches(spark)
     where = docs.columns.index("text")
     for part in _parts(spark, benchmark, min_match):
 

@@ -12,15 +12,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import kind_of, slices
 from .vocab import TOKENIZER_DIR, pieces
 
 PIECES = "piece_bpe_32k.model"
 
 #: The classifier is fitted on at most so many labelled rows of each language, chosen by a hash of the text.
 TRAIN_ROWS_PER_LANGUAGE = 150
+#: Texts of fewer or more characters are not among them. All texts are scored.
+MIN_CHARS, MAX_CHARS = 40, 20_000
 EM_ROUNDS = 3
 #: Weight of the uniform distribution that each language's pieces are mixed with.
 SMOOTHING = 0.02
@@ -216,7 +219,8 @@ def forward_many(words: pa.Array, vocab: Pieces, logp: np.ndarray) -> np.ndarray
 def fit(samples: dict[str, list[str]], tokenizer_dir: str = TOKENIZER_DIR, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [piece, language]) fitted on sample texts by expectation maximisation.
 
-    Words are split at white space; case and punctuation stay. Words over WIDE characters aren't used to fit."""
+    Words are split at white space; case and punctuation stay. Words over WIDE characters aren't used to fit (they are
+    scored, one by one)."""
     vocab = Pieces(f"{tokenizer_dir}/{PIECES}")
     langs = sorted(samples)
     logp = np.full((vocab.size, len(langs)), -np.log(vocab.size))
@@ -237,23 +241,28 @@ def fit(samples: dict[str, list[str]], tokenizer_dir: str = TOKENIZER_DIR, round
     return langs, logp
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS_PER_LANGUAGE, max_chars: int = 20_000) -> dict[str, list[str]]:
-    """At most `rows` labelled texts of each language, those with the least hashes; texts over max_chars are not used to fit."""
-    text = F.col("text")
-    known = docs.where(F.col("lang").isNotNull() & text.isNotNull() & F.char_length(text).between(40, max_chars))
-    heads = known.select(F.col("lang").cast("string").alias("lang"), F.struct(F.xxhash64(text).alias("h"), text.alias("t")).alias("x"))
-    best = heads.groupBy("lang").agg(F.min_by("x", "x.h").alias("one"), F.count(F.lit(1)).alias("n"))
-    out: dict[str, list[str]] = {}
-    for r in best.collect():
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS_PER_LANGUAGE, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> dict[str, list[str]]:
+    """At most `rows` labelled texts of each language, those with the least hashes; texts of under min_chars or over
+    max_chars characters are not used to fit. Two passes, whatever the number of languages; rows and max_chars bound
+    what comes to the driver."""
+    text, lang = F.col("text"), F.col("lang").cast("string")
+    known = docs.where(lang.isNotNull() & F.char_length(text).between(min_chars, max_chars)).select(lang.alias("lang"), F.xxhash64(text).alias("h"), text.alias("t"))
+    limits = []
+    for r in known.groupBy("lang").count().collect():
         # a hash threshold that leaves a few more than `rows` in expectation, then the least of those
-        share = min(1.0, 1.5 * rows / r["n"] + 60 / r["n"])
-        limit = int(-(2**63) + share * (2**64 - 1))
-        at = heads.where((F.col("lang") == r["lang"]) & (F.col("x.h") <= F.lit(min(limit, 2**63 - 1))))
-        out[r["lang"]] = [x["x"]["t"] for x in at.orderBy("x.h", "x.t").limit(rows).collect()]
+        share = min(1.0, 1.5 * rows / r["count"] + 60 / r["count"])
+        limits.append((r["lang"], min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)))
+    if not limits:
+        return {}
+    least = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
+    near = known.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long")), "lang").where("h <= most")
+    out: dict[str, list[str]] = {}
+    for r in near.withColumn("k", least).where(F.col("k") <= rows).orderBy("lang", "k").collect():
+        out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
-SCHEMA = "doc_id long, lang string, predicted string, n_words long, log_prob double, margin double"
+SCHEMA = "doc_id {kind}, lang string, predicted string, n_words long, log_prob double, margin double"
 
 
 def language_id(
@@ -266,7 +275,6 @@ def language_id(
     or all white space, or a table in which no language is known, gives a null prediction with 0 words' probability 0.0.
     Ties go to the language that sorts first. Null ids and languages are carried along; repeated rows each
     have their row. Map only: each distinct word of a slice of texts is scored once."""
-    small_batches(docs.sparkSession)
     langs, logp = model if model is not None else fit(training_sample(docs), tokenizer_dir)
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp))  # of fixed size: vocabulary x languages
     path = f"{tokenizer_dir}/{PIECES}"
@@ -303,5 +311,5 @@ def language_id(
             arrays = [b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
+    return narrow.mapInArrow(run, SCHEMA.format(kind=kind_of(docs, "doc_id")))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, hash128, without
+from .common import Table, guarded, hash128, without
 
 #: A line in at least so many documents is boilerplate.
 MIN_DOCS = 10
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f\x0B ]+", " "))
+    """Lower case; runs of blanks, tabs, returns, form feeds, vertical tabs and no-break spaces as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f\x0B\xA0]+", " "))
 
 
 def line_keys(text: Column) -> Column:
@@ -36,6 +36,7 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_i
     return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
+@guarded
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with lines in min_docs or more documents dropped from text, and
     n_lines and n_dropped added (columns of these names in docs are replaced).

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Table, join_small, without
+from .common import Table, guarded, join_small, without
 
 #: Sources are weighted by their share of rows to this power: under 1 lifts small sources.
 TEMPERATURE = 0.7
@@ -46,6 +46,7 @@ def allocate(sizes: DataFrame, budget: int | None, weights: dict[str, float] | N
     return out.withColumn("take", F.col("base") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).select("source", "x_total", "take")
 
 
+@guarded
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None,
     temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import guarded, kind_of, slices
 from .vocab import TOKENIZER_DIR, pieces, ranks
 
 #: Fertility is taken from the one, fallback and entropy from the other.
@@ -49,7 +49,7 @@ _SCRIPTS = {
     "Cyrillic": r"[Ѐ-ӿ]",
     "Han": r"[぀-ヿ㐀-鿿]",
 }
-METRICS = "doc_id long, lang string, band string, n_chars long, n_tokens long, chars_per_token double, n_pieces long, fallback_share double, token_entropy double"
+METRICS = "doc_id {kind}, lang string, band string, n_chars long, n_tokens long, chars_per_token double, n_pieces long, fallback_share double, token_entropy double"
 
 
 def _script(text: str) -> str:
@@ -76,7 +76,6 @@ def measure(
     band is the language where it has a band, else the script that most of the text is in, else ''. Whole
     texts; map only. A null or empty text has 0 tokens, characters a token and entropy. Null ids and
     languages are carried along, repeated rows each have their row."""
-    small_batches(docs.sparkSession)
     words, fallback = f"{tokenizer_dir}/{WORDS}", f"{tokenizer_dir}/{PIECES}"
     known = frozenset(BANDS) - set(_SCRIPTS) - {""}
     names = [x.split()[0] for x in METRICS.split(", ")]
@@ -99,10 +98,10 @@ def measure(
 
     held = [F.col(f"`{c}`").alias(f"__ql_{i}") for i, c in enumerate(keep)]
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *held
+        F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *held
     )
     kinds = dict(narrow.dtypes)
-    return narrow.mapInArrow(run, METRICS + "".join(f", __ql_{i} {kinds[f'__ql_{i}']}" for i in range(len(keep))))
+    return narrow.mapInArrow(run, METRICS.format(kind=kind_of(docs, id_col)) + "".join(f", __ql_{i} {kinds[f'__ql_{i}']}" for i in range(len(keep))))
 
 
 def reason(bands: dict[str, Band] = BANDS) -> Column:
@@ -132,6 +131,7 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] = BANDS, tokenizer_dir
     return measure(docs, tokenizer_dir).where(reason(bands).isNull())
 
 
+@guarded
 def filter_quality(docs: DataFrame, bands: dict[str, Band] = BANDS, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """The rows of docs, with all their columns and no others, that quality_rules() keeps."""
     out = measure(docs, tokenizer_dir, keep=tuple(docs.columns)).where(reason(bands).isNull())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, join_small, without
+from .common import Table, guarded, join_small, without
 
 TARGET_BYTES = 16 << 20
 #: Nodes with at most so many distinct metadata vectors are finished inside one task, by the same rule.
@@ -107,6 +107,7 @@ def leaves(docs: DataFrame, target_bytes: int = TARGET_BYTES, local_rows: int =
     return live.df.groupBy("node").applyInArrow(finish, "d0 long, d1 long, d2 long, d3 long, weight long, shard string")
 
 
+@guarded
 def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """All rows and columns of docs with shard (the leaf's path in the tree) and shard_id (its rank, from 0).
 

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, Words, hash128, mix64, slices, small_batches
+from .common import Table, Words, guarded, hash128, kind_of, mix64, slices
 
 BITS, WORDS64 = 256, 4
 BINS = 128
 #: Edges are pairs of documents with at most RADIUS differing bits and at least OVERLAP of their word pairs in common.
 RADIUS, OVERLAP = 64, 0.4
-#: Nodes of a shard's graph, and queries that a task answers; more queries are more tasks with the same graph.
-SHARD_NODES, TASK_QUERIES = 1 << 17, 1 << 19
+#: Nodes of a shard's graph: at most so many, and at least so many if that leaves no core idle. Queries that a task
+#: answers; more queries are more tasks with the same graph.
+SHARD_NODES, LEAST_NODES, TASK_QUERIES = 1 << 17, 1 << 15, 1 << 19
 #: Links that a node makes, and that it may have; entry points; the first beam; the recall that a beam must reach.
 LINKS, SLOTS, HUBS, BEAM, RECALL = 12, 32, 2048, 32, 0.97
 AUDIT = 1024
@@ -262,8 +263,11 @@ class Union:
         return a != b
 
 
-def edges_of_shard(ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray, q_sketches: np.ndarray, radius: int = RADIUS, least: float = OVERLAP) -> Union:
-    """The verified edges between queries and a shard's nodes, united.
+def edges_of_shard(
+    ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray, q_sketches: np.ndarray,
+    radius: int = RADIUS, least: float = OVERLAP, report: dict | None = None,
+) -> Union:
+    """The verified edges between queries and a shard's nodes, united. report gets the audited recall and the beam.
 
     A query whose beam has nodes within the radius alone is held against every node of the shard: what lies
     beyond need not be reached by way of those found. Pairs that are in one set by then are passed over."""
@@ -271,7 +275,9 @@ def edges_of_shard(ids: np.ndarray, codes: np.ndarray, sketches: np.ndarray, q_i
     ids, codes, sketches = ids[order], codes[order], sketches[order]
     graph, sets = Graph(codes), Union()
     some = q_codes[np.argsort(mix64(q_ids.view(np.uint64) + np.uint64(7)), kind="stable")[:AUDIT]]
-    graph.audit(np.concatenate((some[: AUDIT // 2], codes[: AUDIT // 2])), radius)
+    recall = graph.audit(np.concatenate((some[: AUDIT // 2], codes[: AUDIT // 2])), radius)
+    if report is not None:
+        report |= {"recall": recall, "beam": graph.beam}
     for a in range(0, len(q_ids), 1 << 14):
         q = np.arange(a, min(a + (1 << 14), len(q_ids)))
         row, node, full = graph.within(q_codes[q], radius, graph.beam)
@@ -332,12 +338,11 @@ def components(edges: DataFrame) -> Table:
     return Table(stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct()), "components")
 
 
-SKETCHED = "doc_id long, h long, g long, code binary, sketch binary, n int"
+SKETCHED = "doc_id {kind}, h long, g long, code binary, sketch binary, n int"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     """SKETCHED of the rows of docs that have words; h and g hash the text. Whole texts; map only."""
-    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SKETCHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +355,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*held, *rows, pa.array(size[some].astype(np.int32))], names=names)
 
     text = F.col("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[x.alias(n) for x, n in zip(hash128(text), "hg")], text.alias("text")).mapInArrow(run, SKETCHED)
+    return docs.select(F.col("doc_id").alias("doc_id"), *[x.alias(n) for x, n in zip(hash128(text), "hg")], text.alias("text")).mapInArrow(run, SKETCHED.format(kind=kind_of(docs, "doc_id")))
 
 
 def _plan(counts: dict[int, int], least: float, shard_nodes: int) -> tuple[list[tuple[int, int, int]], dict[int, list[int]]]:
@@ -369,15 +374,22 @@ def _plan(counts: dict[int, int], least: float, shard_nodes: int) -> tuple[list[
     return ranges, {b: [i for i, (lo, hi, _) in enumerate(ranges) if lo <= b + reach and hi >= b - reach] for b in counts}
 
 
-def near_edges(nodes: Table, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int = SHARD_NODES, task_queries: int = TASK_QUERIES) -> DataFrame:
-    """Verified edges (a, b) between nodes (id, code, sketch, n), as stars, found by searching every node in every
-    shard that can hold a partner. The queries of a shard move as 170 bytes each and are never broadcast
-    whole to all executors; the plan of shards has as many entries as there are size bins, not nodes."""
+EDGES = "a long, b long, recall double, beam long"
+
+
+def near_edges(nodes: Table, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int | None = None, task_queries: int = TASK_QUERIES) -> DataFrame:
+    """EDGES: verified edges (a, b) between nodes (id, code, sketch, n), as stars, found by searching every node in every
+    shard that can hold a partner, and a row for each task with its audited recall and the beam that it took. The queries
+    of a shard move as 170 bytes each and are never broadcast whole to all executors; the plan of shards has as many
+    entries as there are size bins, not nodes. Without shard_nodes, shards are so small that every core has one, within
+    LEAST_NODES and SHARD_NODES."""
+    if shard_nodes is None:
+        shard_nodes = min(SHARD_NODES, max(LEAST_NODES, ceil(nodes.df.count() / nodes.spark.sparkContext.defaultParallelism)))
     binned = F.floor(_GRAIN * F.log2(F.col("n").cast("double"))).cast("int")
     counts = {r["bin"]: r["count"] for r in nodes.df.groupBy(binned.alias("bin")).count().collect()}
     ranges, seen = _plan(counts, least, shard_nodes)
     if not ranges:
-        return nodes.df.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return nodes.spark.createDataFrame([], EDGES)
     asked = [sum(counts[b] for b, s in seen.items() if i in s) for i in range(len(ranges))]
     groups = [ceil(x / task_queries) for x in asked]
     plan = nodes.df.sparkSession.createDataFrame(
@@ -393,13 +405,15 @@ def near_edges(nodes: Table, radius: int = RADIUS, least: float = OVERLAP, shard
     ask = ask.withColumn("grp", F.pmod(key(2), F.col("s.groups")).cast("int")).select(F.col("s.r").alias("range"), "part", "grp", "id", "code", "sketch")
 
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        sets = edges_of_shard(*_arrays(shard), *_arrays(queries), radius, least) if len(shard) and len(queries) else Union()
+        report: dict = {}
+        sets = edges_of_shard(*_arrays(shard), *_arrays(queries), radius, least, report) if len(shard) and len(queries) else Union()
         pairs = [(sets.root(x), x) for x in [*sets.up]]
-        pairs = [x for x in pairs if x[0] != x[1]]
-        return pa.table([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        rows = [(*x, None, None) for x in pairs if x[0] != x[1]] + [(None, None, report["recall"], report["beam"])] * bool(report)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["a", "b", "recall", "beam"])
 
     by = ["range", "part", "grp"]
-    return own.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(run, "a long, b long")
+    return own.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(run, EDGES)
 
 
 def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,14 +423,19 @@ def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Groups:
     """The groups of near duplicates of a table: `rows` has (doc_id, h, g, root) of each row that has a partner,
-    `kept` (root, doc_id, h, g) of the one that stays, with the lowest id (null last), then the least hash of the text."""
+    `kept` (root, doc_id, h, g) of the one that stays, with the lowest id (null last), then the least hash of the text,
+    `recall` the least recall that a task's audit found (1.0 if there was none)."""
 
-    def __init__(self, docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int = SHARD_NODES):
+    def __init__(self, docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int | None = None):
         every = Table(sketched(docs), "sketched")
         nodes = every.df.groupBy("code", "sketch", "n").agg(F.count(F.lit(1)).alias("rows")).withColumn("id", F.monotonically_increasing_id())
         nodes = Table(nodes, "nodes")
         edges = Table(near_edges(nodes, radius, least, shard_nodes), "near_edges")
-        found = components(edges.df)
+        self.recall = edges.df.agg(F.min("recall")).first()[0]
+        self.recall = 1.0 if self.recall is None else self.recall
+        if self.recall < RECALL:
+            raise RuntimeError(f"a shard's search found {self.recall:.3f} of what exact search finds, under {RECALL}")
+        found = components(edges.df.where("a is not null"))
         one = nodes.df.join(found.df.withColumnRenamed("v", "id"), "id", "left")
         one = one.where("root is not null or rows > 1").select("code", "sketch", F.coalesce("root", "id").alias("root"))
         rows = Table(every.df.join(one, ["code", "sketch"]).select("doc_id", "h", "g", "root"), "grouped")
@@ -427,37 +446,38 @@ class Groups:
         self.kept = self.rows.groupBy("root").agg(F.min(first).alias("k")).select("root", "k.doc_id", "k.h", "k.g")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int | None = None) -> DataFrame:
     """(doc_id, group_id, keep) of each row that is in a group of two or more; group_id is the id of the row that
     stays (the lowest, null last), and keep is true for it alone among different rows.
 
     Groups are the connected components of verified edges, exact copies included. A null text, or one without
     letters or digits, has no partner. Rows with null or repeated ids are grouped by their texts like any other, and
-    each have their row; rows equal in id and text can't be told apart and are all marked keep, if one is.
-    A table without rows or partners gives none."""
+    each have their row; rows equal in id and text can't be told apart and are all marked keep, if one is. Ids may be
+    of any type that has an order. A table without rows or partners gives none."""
     groups = Groups(docs, radius, least, shard_nodes)
     k = groups.kept.select("root", *[F.col(c).alias(f"k_{c}") for c in ("doc_id", "h", "g")])
     same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("h") == F.col("k_h")) & (F.col("g") == F.col("k_g"))
     return groups.rows.join(k, "root").select("doc_id", F.col("k_doc_id").alias("group_id"), same.alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int = SHARD_NODES) -> DataFrame:
+@guarded
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int | None = None) -> DataFrame:
     """The rows of docs, with all their columns, without all but one row of each group of near_duplicates().
 
     Rows equal in id and text count as copies: one stays. Only ids and hashes of rows that go are shuffled."""
     groups = Groups(docs, radius, least, shard_nodes)
-    stay = groups.kept.withColumn("stays", F.lit(1))
-    keys = groups.rows.groupBy("doc_id", "h", "g", "root").agg(F.count(F.lit(1)).alias("times"))
-    keys = keys.join(stay.select("root", *[F.col(c).alias(f"k_{c}") for c in ("doc_id", "h", "g")]), "root")
+    stay = groups.kept.select("root", *[F.col(c).alias(f"k_{c}") for c in ("doc_id", "h", "g")])
+    keys = groups.rows.groupBy("doc_id", "h", "g", "root").agg(F.count(F.lit(1)).alias("times")).join(stay, "root")
     same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("h") == F.col("k_h")) & (F.col("g") == F.col("k_g"))
-    go = Table(keys.select(F.col("doc_id").alias("__ql_id"), F.col("h").alias("__ql_h"), F.col("g").alias("__ql_g"), same.alias("__ql_one"), "times").where("not __ql_one or times > 1"), "near_drops")
-    hashes = dict(zip(("__ql_1", "__ql_2"), hash128(F.col("text"))))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__ql_id")) & (F.col("__ql_1") == F.col("__ql_h")) & (F.col("__ql_2") == F.col("__ql_g"))
+    own, h, g, one, times, x, y = (f"__ql_{n}" for n in ("id", "h", "g", "one", "times", "x", "y"))
+    go = keys.select(F.col("doc_id").alias(own), F.col("h").alias(h), F.col("g").alias(g), same.alias(one), F.col("times").alias(times))
+    go = Table(go.where(~F.col(one) | (F.col(times) > 1)), "near_drops")
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(x) == F.col(h)) & (F.col(y) == F.col(g))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.withColumns(hashes)
+    left = docs.withColumns(dict(zip((x, y), hash128(F.col("text")))))
     out = left.join(go.df, on, "left_anti").select(*names)
-    twice = go.df.where("__ql_one")
+    twice = go.df.where(F.col(one))
     if not twice.isEmpty():
-        again = left.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__ql_1", "__ql_2"])
+        again = left.join(twice, on, "left_semi").dropDuplicates(["doc_id", x, y])
         out = out.unionByName(again.select(*names))
     return out

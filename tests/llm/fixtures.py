@@ -2,7 +2,7 @@
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves, or add.
-CLASHING = ["h", "g", "root", "code", "sketch", "id", "node", "copy", "shard", "shard_id", "n_lines", "n_dropped", "tokens", "bin", "take", "k", "a", "b", "value", "count", "x", "w", "d0", "doc", "s", "e"]
+CLASHING = ["h", "g", "root", "code", "sketch", "id", "node", "copy", "shard", "shard_id", "n_lines", "n_dropped", "tokens", "bin", "take", "k", "a", "b", "value", "count", "x", "w", "d0", "doc", "s", "e", "__ql_id", "__QL_H", "__ql_1", "__ql_d0", "__ql_t", "__ql_spans", "__ql_0", "column_0"]
 
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu".split()
 
