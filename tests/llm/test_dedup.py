@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quadrille.llm import decontamination, line_dedup, simhash, substring_dedup
 from quadrille.llm.common import Words, window_hashes
@@ -136,6 +137,35 @@ def test_near_dedup_of_messy_rows(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_groups_do_not_depend_on_batches_or_partitions(spark):
+    rows = [(i, prose(1000 + i % 700, 120) + (" more" if i % 5 == 0 else ""), "en", "s", 0) for i in range(1400)]
+    docs = frame(spark, rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for size, parts in (("100", 7), ("2000", 1)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found.append({tuple(r) for r in simhash.near_duplicates(docs.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len(found[0]) == 1400 and all(g == i % 700 for i, g, _ in found[0])
+
+
+def test_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("b", prose(1, 60)), ("a", prose(1, 60)), ("c", prose(2, 60))], "doc_id string, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == {("a", "a", True), ("b", "a", False)}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {"a", "c"}
+    bench = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.find_leaks(docs, bench).collect()] == ["c"]
+    with pytest.raises(TypeError):
+        substring_dedup.repeated_spans(docs)
+
+
+def test_recall_of_each_search_is_kept(spark, small):
+    groups = simhash.Groups(spark.read.parquet(f"{small}/documents.parquet"), shard_nodes=30)
+    assert simhash.RECALL <= groups.recall <= 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.root for r in simhash.components(edges).df.collect()}
@@ -258,6 +288,42 @@ def test_passages_of_all_lengths_and_levels(spark):
     assert substring_dedup.substring_dedup(docs).columns == docs.columns
 
 
+def test_hot_anchors_give_the_same_spans(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert {tuple(r) for r in substring_dedup.repeated_spans(docs, hot_rows=2).collect()} == {tuple(r) for r in substring_dedup.repeated_spans(docs).collect()}
+    assert {tuple(r) for r in substring_dedup.repeated_spans(docs, True, 3).collect()} == {tuple(r) for r in substring_dedup.repeated_spans(docs, True).collect()}
+
+
+def test_only_repeated_windows_are_extended(spark, small, monkeypatch):
+    """Each window of a level has a first half that another document has too, and all sampled windows with such a half are there."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    levels, counted = {}, substring_dedup._counted
+
+    def spy(windows, length):
+        levels[length] = {(r.doc, r.pos) for r in windows.collect()}
+        return counted(windows, length)
+
+    monkeypatch.setattr(substring_dedup, "_counted", spy)
+    spans = substring_dedup.repeated_spans(docs).collect()
+    assert sorted(levels) == [100 << i for i in range(len(levels))] and len(levels) >= 3
+    for length, found in levels.items():
+        seen = defaultdict(set)
+        for d, w in texts.items():
+            for i in range(len(w) - length // 2 + 1):
+                seen[tuple(w[i : i + length // 2])].add(d)
+        assert all(len(seen[tuple(texts[d][p : p + length // 2])]) > 1 and p + length <= len(texts[d]) for d, p in found)
+    assert max(r.longest for r in spans) == max(levels) // 2
+
+
+def test_bitmaps_know_all_members(spark):
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63, 5000, np.int64)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    a, b = substring_dedup.filters([(df, 5000), (df.limit(0), 0)])
+    assert a.value.has(keys).all() and not b.value.has(keys).any()
+    assert a.value.has(np.random.default_rng(1).integers(-(2**63), 2**63, 100_000, np.int64)).mean() < 0.01
+
+
 def test_substring_dedup_of_messy_rows(spark):
     docs = frame(spark)
     assert covered(substring_dedup.repeated_spans(docs)) == slow_spans([(r[0], r[1]) for r in messy() if r[0] != 9])
@@ -302,6 +368,8 @@ def test_lines_are_dropped_as_by_hand(spark):
     for least in (2, 4, 10):
         got = line_dedup.line_dedup(docs, least)
         assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == slow_lines(rows, least)
+    blanks = line_dedup.line_dedup(frame(spark, [(i, "a\u00a0 b" if i % 2 else "a b", "en", "s", 0) for i in range(10)]), 10)
+    assert {r.n_dropped for r in blanks.collect()} == {1}
     assert {"n_lines", "n_dropped", "root"} <= set(got.columns) and len(got.columns) == len(docs.columns)
     assert line_dedup.line_dedup(frame(spark)).count() == len(messy())
     assert line_dedup.line_dedup(empty(spark)).count() == 0
