@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import datetime
 import hashlib
 import re
 import urllib.parse
@@ -16,12 +15,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches
+from .common import Table, shared_path
 
 #: Ranges with at most so many bytes between them are read at once, up to MAX_READ bytes.
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
-#: A task reads records of so many bytes of a file.
-SPAN = 64 << 20
+#: A task reads records of at most about SPAN bytes, and of less (LEAST_SPAN at least) where cores would be idle.
+SPAN, LEAST_SPAN = 64 << 20, 2 << 20
+#: The date in the records: that of the pages isn't known, and the clock's would make each run's bytes differ.
+DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, record_id string, page_id long, url string, digest string, status int, n_bytes long"
 _CHUNK = 1 << 20
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0  ]")
@@ -36,14 +37,16 @@ def _digest(body: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One gzip member with a response record. A null page is status 204, a null URL no target header; a
-    URL with blanks or control characters is escaped and marked, so that it is read back as it was."""
+def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
+    """One gzip member with a response record, the same bytes on every run. A null page is status 204, a null URL no
+    target header, a null id a name by content; a URL with blanks or control characters is escaped and marked, so that it
+    is read back as it was."""
     body = b"" if html is None else html.encode("utf-8", "surrogatepass")
     head = "HTTP/1.1 204 No Content\r\n\r\n" if html is None else "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = head.encode() + body
-    name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{page_id}"
-    lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <{name}>", f"WARC-Date: {datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}"]
+    content = hashlib.sha1(repr(url).encode() + b"\n" + block).hexdigest()
+    name = f"urn:sha1:{content}" if page_id is None else f"urn:page:{page_id}"
+    lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         odd = not url or bool(_UNSAFE.search(url))
         lines.append("WARC-Target-URI: " + (urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=~-._", errors="surrogatepass") if odd else url))
@@ -78,12 +81,11 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def write_warc(pages: DataFrame, folder: str) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
     """Write pages (page_id, url, html) as .warc.gz files with one gzip member a record; returns (file, records).
 
     Each task attempt has files of its own name, so that a lost executor leaves no more than a file
     that nobody lists: take the files from the result, and write it to a table before using it twice."""
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, base = _open(folder)
@@ -93,7 +95,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     out = disk.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(record(*row))
+                out.write(record(*row, date))
                 n += 1
         if out is not None:
             out.close()
@@ -166,9 +168,8 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = MAX_GAP, most: int = MAX
 def read_records(selected: DataFrame) -> DataFrame:
     """(page_id, url, html) of the records in `selected`, which are rows of an index (others of its columns are ignored).
 
-    Ranges are grouped by file and span, sorted, and near ones read together; nothing else of the files is
-    read. A row that is selected twice is returned twice; no rows give none."""
-    small_batches(selected.sparkSession)
+    Ranges are cut into tasks by place, so that each has its share of the bytes, sorted, and near ones read together;
+    nothing else of the files is read. A row that is selected twice is returned twice; no rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,8 +192,11 @@ def read_records(selected: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "html"])
                 i = j
 
-    span = F.floor(F.col("offset") / SPAN)
-    near = selected.select("file", "offset", "length").repartition("file", span).sortWithinPartitions("file", "offset")
+    places = Table(selected.select("file", "offset", "length"), "warc_places").df
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # a number of its own: adaptive execution would go by the size of the index rows, and make one task of them
+    tasks = max(1, -(-total // SPAN), min(-(-total // LEAST_SPAN), places.sparkSession.sparkContext.defaultParallelism))
+    near = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return near.mapInArrow(run, "page_id long, url string, html string")
 
 
@@ -209,8 +213,6 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     Returns (page_id, url, html); of pages with equal html the one with the lowest id, null last. Pages
     with null html are alike, and differ from empty ones. Null ids and URLs come back as they were; other
     columns of pages are ignored; no pages give none."""
-    from .common import Table
-
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     files = Table(write_warc(pages, folder), "warc_files")
