@@ -43,14 +43,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are added, then those that labels call toxic are taken out again, and one batch is repeated."""
+    """All documents are counted under two tokenizer versions and added; those with e-mail addresses are revised to the
+    counts of their texts without; those that labels call toxic are taken out as they then stand; the first two batches are
+    sent again, and change nothing."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    counts = Table(token_counts.counted(docs, "byte-bpe-multi-50k.v1"), "token_counts").df
+    counts = Table(token_counts.counted(docs), "token_counts").df
+    masked = docs.where(F.contains("text", F.lit("@"))).withColumn("text", F.regexp_replace("text", r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "<address>"))
+    new = Table(token_counts.counted(masked), "token_counts").df
+    old = counts.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    current = counts.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
     ledger = token_counts.Ledger(spark, shared_path(spark, "ledger"))
     ledger.commit("add-all", token_counts.inserts(counts))
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    ledger.commit("drop-toxic", token_counts.deletes(counts.join(toxic, "doc_id", "left_semi")))
+    ledger.commit("mask-addresses", token_counts.revisions(old, new))
+    ledger.commit("drop-toxic", token_counts.deletes(current.join(toxic, "doc_id", "left_semi")))
     ledger.commit("add-all", token_counts.inserts(counts))
+    ledger.commit("mask-addresses", token_counts.revisions(old, new))
     return ledger.totals()
 
 
@@ -76,7 +84,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-_NORM = r"trim(regexp_replace(lower(line), '[ \t\r\f\x0B\x{00A0}]+', ' ', 'g'))".replace(r"\x{00A0}", "")
+_NORM = r"trim(regexp_replace(lower(line), '[ \t\r\f\x0B\x{00A0}]+', ' ', 'g'))"
 
 ORACLE_SQL = {
     "op4_line_dedup": f"""

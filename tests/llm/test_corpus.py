@@ -16,6 +16,7 @@ from quadrille.llm import language_id, mixing, quality, sharding, token_counts,
 from quadrille.llm.common import Table, shared_path
 
 from .fixtures import empty, frame, messy, prose
+from .test_dedup import brute_groups
 
 # 5: sharding
 
@@ -62,6 +63,37 @@ def test_cut_is_the_weighted_median():
         assert sharding.cut(v, w) == slow_cut(v.tolist(), w.tolist())
 
 
+def slow_tree(rows, target):
+    """The leaf of each row of (vector, bytes), by plain recursion over all of the table."""
+    span = [max(v[i] for v, _ in rows) - min(v[i] for v, _ in rows) for i in range(4)]
+    out = {}
+
+    def split(own, path):
+        total = sum(w for _, w in own)
+        widths = [(max(v[i] for v, _ in own) - min(v[i] for v, _ in own)) / max(span[i], 1) * sharding.WEIGHTS[i] for i in range(4)]
+        d = widths.index(max(widths))
+        values = sorted({v[d] for v, _ in own})
+        if total <= target or len(values) < 2:
+            out.update({v: path for v, _ in own})
+            return
+        best = min(values[:-1], key=lambda x: (abs(2 * sum(w for v, w in own if v[d] <= x) - total), x))
+        split([r for r in own if r[0][d] <= best], path + "0")
+        split([r for r in own if r[0][d] > best], path + "1")
+
+    split(rows, "")
+    return out
+
+
+def test_tree_is_that_of_plain_recursion(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    vec = docs.select("doc_id", F.octet_length("text").alias("w"), *sharding.vector(F.col("lang"), F.col("source"), F.col("text"), F.col("doc_id"))).collect()
+    keys = {r.doc_id: tuple(r[d] for d in sharding.DIMS) for r in vec}
+    for target in (20_000, 90_000):
+        want = slow_tree([(keys[r.doc_id], r.w) for r in vec], target)
+        got = {r.doc_id: r.shard for r in sharding.shard(docs, target, local_rows=16).select("doc_id", "shard").collect()}
+        assert got == {i: want[k] for i, k in keys.items()}
+
+
 def test_sharding_of_messy_rows(spark):
     out = sharding.shard(frame(spark, clash=True), target_bytes=1000)
     rows = out.collect()
@@ -102,6 +134,22 @@ def test_warc_keeps_odd_pages_and_reads_by_range(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_records_are_the_same_bytes_on_every_run(spark):
+    for page in ((1, "http://a", "x"), (None, None, None), (None, "http://a", "")):
+        assert warc.record(*page) == warc.record(*page) and warc.record(*page) != warc.record(*page, date="2020-01-01T00:00:00Z")
+    assert warc.record(None, "a", "x") != warc.record(None, "b", "x")
+
+
+def test_reads_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_SPAN", 1 << 10)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", prose(i, 300)) for i in range(60)], "page_id long, url string, html string")
+    files = Table(warc.write_warc(pages.coalesce(1), shared_path(spark, "warc-test")), "f")
+    index = Table(warc.index_warc(spark, files.df), "i").df
+    got = warc.read_records(index)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pages.collect()))
+
+
 def test_coalesced_reads_cover_and_respect_limits():
     r = np.random.default_rng(1)
     at, ranges = 0, []
@@ -209,12 +257,43 @@ def test_ledger_is_the_sum_of_its_batches_and_each_counts_once(spark, small):
                 want[(r.source, lang, name)][i] += x
     totals = lambda: {tuple(r)[:3]: list(r)[3:] for r in ledger.totals().collect()}
     assert totals() == dict(want)
-    ledger.compact("snapshot")
+    assert ledger.compact("snapshot")
     assert totals() == dict(want) and not ledger.commit("b", token_counts.inserts(counts))
+    assert not ledger.compact("snapshot") and totals() == dict(want)
+    ledger.vacuum()
+    assert totals() == dict(want) and not ledger.commit("a", token_counts.inserts(counts)) and not ledger.compact("snapshot")
+    # a run that dies before the rename leaves nothing that counts, nor one that dies between folding and deleting
+    place, ledger._place = ledger._place, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        ledger.compact("second")
+    ledger._place = place
+    assert totals() == dict(want)
+    assert ledger.commit("e", token_counts.inserts(counts.where("doc_id = 1"))) and ledger.compact("second")
+    assert ledger.commit("f", token_counts.deletes(counts.where("doc_id = 1"))) and totals() == dict(want)
+    ledger.vacuum()
+    assert token_counts.Ledger(spark, ledger.path).batches() == ["a", "b", "c", "d", "e", "f", "second", "snapshot"] and totals() == dict(want)
     with pytest.raises(ValueError):
         ledger.commit("a/b", token_counts.inserts(counts))
 
 
+def test_registered_counts_are_a_recount(spark, small):
+    import re
+
+    from quadrille.llm import queries
+
+    docs, toxic = spark.read.parquet(f"{small}/documents.parquet").collect(), {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic = 1").collect()}
+    want, masked = defaultdict(lambda: [0, 0, 0]), 0
+    for r in docs:
+        text = re.sub(r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "<address>", r.text, flags=re.A)
+        masked += text != r.text
+        if r.doc_id not in toxic:
+            for name, file in token_counts.TOKENIZERS.items():
+                for i, x in enumerate((1, len(vocab.token_ids(f"{vocab.TOKENIZER_DIR}/{file}", [text])[0]), len(text))):
+                    want[(r.source, r.lang, name)][i] += x
+    assert masked and toxic
+    assert {tuple(r)[:3]: list(r)[3:] for r in queries.op8_token_counts(spark, small).collect()} == dict(want)
+
+
 def test_token_counts_of_messy_rows(spark):
     got = token_counts.counted(frame(spark, clash=True), "byte-bpe-multi-50k.v1").collect()
     assert len(got) == len(messy()) and {r.tokens for r in got if not r.chars} == {0}
@@ -342,9 +421,25 @@ def test_stages_take_effect_in_order(spark, small):
 def test_stages_on_messy_and_empty_tables(spark, small):
     for start in (frame(spark, clash=True), empty(spark)):
         docs = start
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.collect()
             docs = Table(stage(spark, docs, small), "stage").df
-        assert docs.count() >= 0
+            own = start.columns
+            assert docs.columns == ([c for c in own if c not in ("shard", "shard_id")] + ["shard", "shard_id"] if name == "shard" else own)
+            rows, was = [Counter((r.doc_id, r.text, r.source, r.root if "root" in own else 0) for r in x) for x in (docs.collect(), before)]
+            if name == "quality_rules":
+                good = Counter((r.doc_id, r.n_chars) for r in quality.quality_rules(start).collect())
+                assert Counter((i, len(t)) for i, t, *_ in rows.elements()) == good and rows <= was
+            elif name == "near_dedup":
+                once = list({(i, t) for i, t, *_ in was})
+                groups = {min((once[k] for k in g), key=lambda x: (x[0] is None, x[0] or 0)) for g in brute_groups(once)}
+                alone = {once[k] for k in range(len(once))} - {once[k] for g in brute_groups(once) for k in g}
+                assert {(i, t) for i, t, *_ in rows} == groups | alone and set(rows.values()) <= {1}
+            elif name == "mix_sources":
+                assert sum(rows.values()) == sum(was.values()) and set(rows) <= set(was)
+            else:
+                assert rows == was
+        assert docs.isEmpty() == start.isEmpty()
 
 
 def test_prose_is_deterministic():
