@@ -93,13 +93,63 @@ def empty(spark: SparkSession, names: Sequence[str]) -> Relation:
 Condition = Callable[[dict[str, Value]], Column]
 
 
+def always(env: dict[str, Value]) -> Column:
+    """The condition that all pairs meet: of anti, it makes absence of any compatible row, not of one that shares a binding."""
+    return F.lit(True)
+
+
 def join(left: Relation, right: Relation, how: str = "inner", extra: Condition | None = None) -> Relation:
     """Join on compatible mappings: variables of both sides are equal terms, or one is unbound.
 
     how: inner, left, semi, anti. Where shared variables are bound in every row of both sides the condition is an
     equality of native columns, which Spark hashes or merges; extra is a further condition over both sides.
-    For anti, a pair must also have a variable that both bind."""
+    For anti without extra, a pair must also have a variable that both bind. If no shared variable is bound in every row
+    of both sides, rows that bind one are joined apart from those that don't, so that there is an equality again."""
+    shared = [n for n in left.held if n in right.held]
+    if shared and not any(n in left.certain and n in right.certain for n in shared):
+        return _apart(left, right, how, extra, max(shared, key=lambda n: (n in left.certain) + (n in right.certain)))
+    return _joined(left, right, how, extra)
+
+
+def _parts(r: Relation, name: str) -> tuple[Relation, Relation | None]:
+    """The rows that bind the variable, and the others, without it; None if there are no others."""
+    if name in r.certain:
+        return r, None
+    bound = r.value(name).bound
+    return Relation(r.df.where(bound), r.held, r.certain | {name}), Relation(r.df.where(~bound), r.held, r.certain).select([n for n in r.held if n != name])
+
+
+def _apart(left: Relation, right: Relation, how: str, extra: Condition | None, name: str) -> Relation:
+    """join() by whether a shared variable is bound on each side."""
+    if how == "left":
+        found = join(left, right, "inner", extra)
+        alone = join(left, right, "anti", extra or always)
+        return union(found, alone)
+    (lb, lu), (rb, ru) = _parts(left, name), _parts(right, name)
+    if how == "inner":
+        parts = [_joined(lb, rb, how, extra)]
+        parts += [join(lb, ru, how, extra)] if ru else []
+        parts += [join(lu, right, how, extra)] if lu else []
+        return union(*parts)
+    # a row stays or goes by the first of the right side's parts that decides it
+    if how == "semi":
+        parts = [_joined(lb, rb, how, extra)]
+        if ru:
+            rest = _joined(lb, rb, "anti", extra or always)
+            parts.append(join(rest, ru, how, extra))
+    else:
+        kept = _joined(lb, rb, how, extra)
+        parts = [join(kept, ru, how, extra) if ru else kept]
+    if lu:
+        parts.append(join(lu, right, how, extra))
+    return union(*parts)
+
+
+def _joined(left: Relation, right: Relation, how: str, extra: Condition | None) -> Relation:
+    """join() in one piece."""
     shared = [n for n in left.held if n in right.held]
+    if not shared and how in ("semi", "anti") and extra in (None, always):
+        right = Relation(right.df.limit(1), right.held, right.certain)  # any row decides for all
     names = {c: f"{c}~" for n in shared for c in right.held[n].columns(n)}
     other = right.df.select(*[col(c).alias(names.get(c, c)) for c in right.columns()]) if right.held else right.df.select(F.lit(0).alias("#~"))
     theirs = {}

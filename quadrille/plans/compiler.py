@@ -16,7 +16,7 @@ from ..functions import values as V
 from ..functions.values import Value
 from ..operators.aggregates import aggregate
 from ..operators.closure import checkpointed, closure
-from ..operators.relation import Held, Relation, col, empty, join, minus, union, unit, written
+from ..operators.relation import Held, Relation, always, col, empty, join, minus, union, unit, written
 from . import algebra as A
 
 
@@ -97,7 +97,7 @@ class Compiler:
         other, lifted = self._inner(r, pattern, graph)
         both = lambda env: reduce(Column.__and__, [V.truth(self.value(c, env)) for c in lifted], F.lit(True))
         # unlike MINUS, a pattern without a variable in common decides for all rows: the extra condition says so
-        return join(r, other, "anti" if negated else "semi", both if lifted or negated else None)
+        return join(r, other, "anti" if negated else "semi", both if lifted else always if negated else None)
 
     def mark(self, r: Relation, e: A.Exists, graph: object) -> tuple[Relation, str]:
         """The relation with a boolean variable that says whether the pattern of EXISTS has a solution."""

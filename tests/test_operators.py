@@ -179,3 +179,25 @@ def test_plans_are_those_one_would_want(spark, small):
 def test_bind_of_a_bound_variable_is_an_error():
     with pytest.raises(ValueError):
         parse("SELECT * { ?s ?p ?o BIND(1 AS ?o) }")
+
+
+def test_variables_that_may_be_unbound_are_joined_by_equality(spark, small):
+    """Each side is cut by whether it binds the variable: no nested loop where an equality decides."""
+    from quadrille.queries import PREFIXES, SPARQL
+
+    e = Engine.over_tables(spark, small)
+    plan = e.explain(PREFIXES + SPARQL["minus_unbound"][0], "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    plan = e.explain(PREFIXES + "SELECT ?k ?q { { ?d d:doc_id ?k OPTIONAL { ?l lb:doc_id ?d ; lb:quality ?q } } FILTER(BOUND(?q)) { ?p p:p_size ?q } }", "simple")
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+
+
+def test_closure_of_a_long_chain(spark):
+    from quadrille.operators.closure import closure
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21), (21, 20)], "a int, b int")
+    want = {(i, j) for i in range(10) for j in range(i + 1, 10)} | {(a, b) for a in (20, 21) for b in (20, 21)}
+    rows = closure(edges).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    start = spark.createDataFrame([(3,), (20,)], "a int")
+    assert {tuple(r) for r in closure(edges, start).collect()} == {x for x in want if x[0] in (3, 20)}
