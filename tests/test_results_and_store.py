@@ -89,6 +89,43 @@ def test_store_is_a_set_with_atomic_batches(spark, tmp_path):
     assert store.count() == 0
 
 
+def test_readers_keep_their_version_and_batches_write_their_own_size(spark, tmp_path):
+    store = QuadStore(spark, f"file://{tmp_path}/store")
+    store.insert([Quad(iri(f"s{i:04d}"), iri("p"), iri("o")) for i in range(500)])
+    readers = [(store.quads, 500)]
+    store.insert([Quad(iri("s0001"), iri("p"), iri("o")), Quad(iri("new"), iri("p"), iri("o"))])
+    readers.append((store.quads, 501))
+    store.delete([Quad(iri("s0001"), iri("p"), iri("o")), Quad(iri("s0002"), iri("p"), iri("o"))])
+    readers.append((store.quads, 499))
+    store.insert([Quad(iri("s0001"), iri("p"), iri("o"))])
+    readers.append((store.quads, 500))
+    _, segments = store._current()
+    assert [(sign, store._segment(name).count()) for sign, name in segments] == [("+", 500), ("+", 1), ("-", 2), ("+", 1)]
+    store.compact()
+    assert [df.count() for df, _ in readers] == [n for _, n in readers]
+    store.vacuum()
+    assert store.count() == 500 and QuadStore(spark, store.path).count() == 500 and len(list((tmp_path / "store").glob("data-*"))) == 1
+    store.clear()
+    assert store.count() == 0 and store.insert([Quad(iri("a"), iri("p"), iri("o"))]) == 1 and store.count() == 1
+
+
+def test_many_batches_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quadrille.store.MOST_SEGMENTS", 3)
+    store = QuadStore(spark, f"file://{tmp_path}/store")
+    for i in range(5):
+        store.insert([Quad(iri(f"s{i}"), iri("p"), iri("o"))])
+    assert store.count() == 5 and len(store._current()[1]) <= 3
+
+
+def test_a_version_that_was_cut_off_is_passed_over(spark, tmp_path):
+    store = QuadStore(spark, f"file://{tmp_path}/store")
+    store.insert([Quad(iri("a"), iri("p"), iri("o"))])
+    (tmp_path / "store" / "version-000000000002").write_text('[["+", "ab')
+    assert store.count() == 1
+    store.insert([Quad(iri("b"), iri("p"), iri("o"))])
+    assert store.count() == 2
+
+
 def test_triple_terms_are_stored_and_matched(spark, tmp_path):
     store = QuadStore(spark, f"file://{tmp_path}/store")
     store.insert(parse_text("PREFIX : <http://e/> :a :b :c ~ :r {| :src :d |} .", "turtle"))
@@ -132,6 +169,13 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         (folder / f"{i}.nt").write_text(f'<http://e/{i}> <http://e/p> "x" .\n')
         ingest(spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    # a batch that is run again after a crash writes over itself
+    last = sorted((tmp_path / "check" / "commits").glob("[0-9]*"))[-1]
+    last.unlink()
+    for crc in (tmp_path / "check" / "commits").glob(f".{last.name}.crc"):
+        crc.unlink()
+    ingest(spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(120)
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
 
 
 def test_registry(spark, small):
@@ -142,7 +186,7 @@ def test_registry(spark, small):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    for name in ("join_fk3", "optional_filter", "exists", "group_sum_avg", "construct_nt", "path_plus", "values_undef", "quads_numeric"):
+    for name in ("join_fk3", "optional_filter", "exists", "group_sum_avg", "construct_nt", "path_plus", "values_undef", "quads_numeric", "from_and_named", "join_unbound", "minus_unbound", "read_trig", "store_delete", "select_json"):
         df = queries[name](spark, small)
         cols = sorted(df.columns)
         want = con.execute(sql[name])
