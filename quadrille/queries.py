@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .io_queries import IO
 
 PREFIXES = "".join(
     f"PREFIX {p}: <http://ex/{t}#>\n"
@@ -151,6 +152,23 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT 'http://ex/graph/region' AS g, 3 * count(*) AS n FROM region UNION ALL SELECT 'http://ex/graph/part', 7 * count(*) FROM part UNION ALL SELECT 'http://ex/graph/labels', 4 * count(*) FROM labels",
     ),
     "from_clause": ("SELECT (COUNT(*) AS ?n) FROM <http://ex/graph/nation> FROM <http://ex/graph/region> { ?s ?p ?o }", "SELECT 4 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM region) AS n"),
+    "from_named_only": ("SELECT (COUNT(*) AS ?n) FROM NAMED <http://ex/graph/region> { ?s ?p ?o }", "SELECT 0::BIGINT AS n"),
+    "from_hides_graphs": ("SELECT (COUNT(*) AS ?n) FROM <http://ex/graph/nation> { GRAPH <http://ex/graph/nation> { ?s ?p ?o } }", "SELECT 0::BIGINT AS n"),
+    "from_and_named": (
+        "SELECT ?x ?y FROM <http://ex/graph/nation> FROM NAMED <http://ex/graph/region> { ?n n:n_regionkey ?r ; n:n_name ?x GRAPH ?g { ?r r:r_name ?y } }",
+        "SELECT n_name AS x, r_name AS y FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "select_star": ("SELECT * { ?c c:c_name ?name ; c:c_acctbal ?balance }", "SELECT 'http://ex/customer/' || c_custkey AS c, c_name AS name, c_acctbal AS balance FROM customer"),
+    "comments_dollar_where": ("# all of them\nSELECT $n # the name\nWHERE { $x s:s_name $n . # not <a> comment\n }", "SELECT s_name AS n FROM supplier"),
+    "distinct_order_limit": ("SELECT DISTINCT ?m { ?c c:c_mktsegment ?m ; c:c_name ?n } ORDER BY DESC(?m) LIMIT 3 OFFSET 1", "SELECT DISTINCT c_mktsegment AS m FROM customer ORDER BY m DESC LIMIT 3 OFFSET 1"),
+    "join_unbound": (
+        "SELECT ?k ?q ?b { { ?d d:doc_id ?k OPTIONAL { ?l lb:doc_id ?d ; lb:quality ?q } } { SELECT ?q ?b { ?p p:p_size ?q ; p:p_brand ?b FILTER(?q < 2) } } FILTER(BOUND(?q)) }",
+        "SELECT d.doc_id AS k, p_size::BIGINT AS q, p_brand AS b FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id JOIN part ON (l.quality IS NULL OR l.quality = p_size) AND p_size < 2",
+    ),
+    "minus_unbound": (
+        "SELECT ?k ?q { { ?d d:doc_id ?k OPTIONAL { ?l lb:doc_id ?d ; lb:quality ?q } } MINUS { ?p p:p_partkey ?t OPTIONAL { ?p p:p_size ?q FILTER(?q < 5) } } }",
+        "SELECT d.doc_id AS k, l.quality::BIGINT AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size < 5 AND p_size = l.quality)",
+    ),
     # subqueries, values, paths
     "subquery_topk": (
         "SELECT ?name ?b { { SELECT ?c ?b { ?c c:c_acctbal ?b ; c:c_custkey ?k } ORDER BY DESC(?b) ?k LIMIT 10 } ?c c:c_name ?name }",
@@ -207,14 +225,9 @@ SPARQL |= {
     "fn_strafter": _fn("STRAFTER(?name, '#')", "split_part(c_name, '#', 2)", **_CUST),
     "fn_langmatches": _fn("LANGMATCHES(LANG(?t), 'en')", "lang = 'en'"),
     "fn_lang": _fn("LANG(?t)", "lang"),
-    "fn_datatype": _fn("DATATYPE(?b)", "'http://www.w3.org/2001/XMLSchema#double'", **_CUST),
     "fn_str": _fn("STR(?na)", "'http://ex/nation/' || c_nationkey", **_CUST),
     "fn_str_number": _fn("STR(?n)", "n_chars::VARCHAR"),
     "fn_sameterm": _fn("sameTerm(?g, ?s)", "lang = source"),
-    "fn_isiri": _fn("isIRI(?na) && !isIRI(?name)", "true", **_CUST),
-    "fn_isliteral": _fn("isLiteral(?name)", "true", **_CUST),
-    "fn_isblank": _fn("isBlank(?x)", "false", **_CUST),
-    "fn_isnumeric": _fn("isNumeric(?b) && !isNumeric(?name)", "true", **_CUST),
     "fn_abs": _fn("ABS(?b)", "abs(c_acctbal)", **_CUST),
     "fn_ceil": _fn("CEIL(?b)", "ceil(c_acctbal)", **_CUST),
     "fn_floor": _fn("FLOOR(?b)", "floor(c_acctbal)", **_CUST),
@@ -313,6 +326,8 @@ OTHER |= {
     "quads_numeric": (quads_numeric, "SELECT p_brand AS b, count(*) AS n, sum(p_size)::BIGINT AS total FROM part WHERE p_size > 10 GROUP BY p_brand"),
 }
 
+OTHER |= IO
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _run(q) for k, (q, _) in SPARQL.items()} | {k: f for k, (f, _) in OTHER.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in SPARQL.items()} | {k: s for k, (_, s) in OTHER.items()}
 

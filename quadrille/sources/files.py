@@ -68,10 +68,11 @@ def read_lines(spark: SparkSession, path: str, form: str = "ntriples") -> DataFr
     scope = F.substring(F.sha1(F.input_file_name()), 1, 10)
     lines = lines.select("value", scope.alias("scope")).where(~F.col("value").rlike(r"^[ \t\r]*(#.*)?$"))
     hard = F.contains("value", F.lit("<<(")) | F.col("value").rlike(r"\\U000[1-9A-Fa-f]|\\U0010")
-    found = [F.regexp_extract("value", _LINE, i) for i in range(1, 12)]
-    easy = lines.where(~hard).select("scope", "value", F.array(*found).alias("m"))
-    m = lambda i: F.col("m")[i - 1]
-    ok = F.col("value").rlike(_LINE) & F.forall(F.array(m(1), m(3), m(4), m(9), m(10)), lambda x: (x == "") | x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
+    # one match a line gives all parts: a line holds no line feed, and one that doesn't match stays as it is
+    parts = F.split(F.regexp_replace("value", _LINE, "\n".join(f"${i}" for i in range(1, 12))), "\n", -1)
+    easy = lines.where(~hard).select("scope", "value", parts.alias("m"))
+    m = lambda i: F.get("m", i - 1)
+    ok = (F.size("m") == 11) & F.forall(F.array(m(1), m(3), m(4), m(9), m(10)), lambda x: (x == "") | x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
     if form == "ntriples":
         ok = ok & (m(10) == "") & (m(11) == "")
     broken = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("value", 1, 200)))

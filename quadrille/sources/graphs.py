@@ -100,16 +100,21 @@ class QuadGraph:
 class MappedGraph:
     """Tables under a mapping. Patterns with the same subject are one scan of its table; no IRI is built to join on."""
 
-    def __init__(self, spark: SparkSession, folder: str, mapping: M.Mapping | None = None):
+    def __init__(self, spark: SparkSession, folder: str, mapping: M.Mapping | None = None, named: M.Mapping | None = None):
+        """mapping has the tables of the default graph, named those that GRAPH sees (the same, if it isn't given)."""
         self.spark, self.folder, self.mapping = spark, folder, mapping or M.Mapping()
+        self.named = self.mapping if named is None else named
         self._read: dict[str, DataFrame] = {}
 
     def dataset(self, default: list[R.IRI], named: list[R.IRI]) -> MappedGraph:
+        """The graphs of FROM merged as the default graph, and those of FROM NAMED; what isn't listed is in neither."""
         if not default and not named:
             return self
-        wanted = {x.value for x in [*default, *named]}
-        tables = {n: t for n, t in self.mapping.tables.items() if t.graph in wanted}
-        return MappedGraph(self.spark, self.folder, M.Mapping(tables))
+        pick = lambda wanted: M.Mapping({n: t for n, t in self.named.tables.items() if t.graph in {x.value for x in wanted}})
+        return MappedGraph(self.spark, self.folder, pick(default), pick(named))
+
+    def _seen(self, graph: object) -> M.Mapping:
+        return self.mapping if graph is None else self.named
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -119,7 +124,7 @@ class MappedGraph:
     def _object(self, t: M.Mapped, c: M.Column) -> Value:
         raw = F.col(c.name)
         if c.kind == "fk":
-            target = self.mapping.tables.get(c.target) or M.TABLES[c.target]
+            target = self.mapping.tables.get(c.target) or self.named.tables.get(c.target) or M.TABLES[c.target]
             return Value("iri", None, template=target.template, keys=(raw.cast("bigint"),))
         if c.kind == "lang":
             return Value("lang", F.when(F.col(c.target).isNotNull(), raw), F.col(c.target))
@@ -179,7 +184,7 @@ class MappedGraph:
                 if not put(x.o, Value("iri", F.lit(t.rdf_class))):
                     return none
             else:
-                c = self.mapping.predicates[x.p.value][1]
+                c = self._seen(graph).predicates[x.p.value][1]
                 v = self._object(t, c)
                 conditions.append(v.bound)
                 if not put(x.o, v):
@@ -207,28 +212,28 @@ class MappedGraph:
     def bgp(self, triples: Sequence[Triple], graph: object = None) -> Relation:
         if not triples:
             return unit(self.spark)
-        names = _names(triples, graph)
+        names, mapping = _names(triples, graph), self._seen(graph)
         stars: dict[object, list[Triple]] = defaultdict(list)
         targets: dict[str, set[str]] = defaultdict(set)
         for t in triples:
             if not isinstance(t.s, (Var, R.IRI)) or not isinstance(t.p, (Var, R.IRI)):
                 return empty(self.spark, names)
             stars[t.s].append(t)
-            if isinstance(t.p, R.IRI) and isinstance(t.o, Var) and t.p.value in self.mapping.predicates:
-                c = self.mapping.predicates[t.p.value][1]
+            if isinstance(t.p, R.IRI) and isinstance(t.o, Var) and t.p.value in mapping.predicates:
+                c = mapping.predicates[t.p.value][1]
                 targets[t.o.name].add(c.target if c.kind == "fk" else "")
         parts = []
         for subject, own in stars.items():
-            tables = dict(self.mapping.tables)
+            tables = dict(mapping.tables)
             for t in own:
                 if isinstance(t.p, Var):
                     continue
                 if t.p.value == R.TYPE:
                     if not isinstance(t.o, Var):
-                        found = self.mapping.classes.get(t.o.value) if isinstance(t.o, R.IRI) else None
+                        found = mapping.classes.get(t.o.value) if isinstance(t.o, R.IRI) else None
                         tables = {n: x for n, x in tables.items() if x is found}
                 else:
-                    found = self.mapping.predicates.get(t.p.value, (None,))[0]
+                    found = mapping.predicates.get(t.p.value, (None,))[0]
                     tables = {n: x for n, x in tables.items() if x is found}
             if isinstance(subject, R.IRI):
                 tables = {n: x for n, x in tables.items() if subject.value.startswith(x.template.prefix)}
