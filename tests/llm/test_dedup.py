@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quadrille.llm import decontamination, line_dedup, simhash, substring_dedup
+from quadrille.llm import common, decontamination, line_dedup, simhash, substring_dedup
 from quadrille.llm.common import Words, window_hashes
 
 from .fixtures import empty, frame, messy, prose
@@ -245,6 +245,34 @@ def test_reordered_passages_leak_and_others_do_not(spark):
     assert decontamination.find_leaks(frame(spark), bench).count() == 0
 
 
+def test_a_large_benchmark_is_joined_with_the_same_result(spark, small, monkeypatch):
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    shown = lambda: Counter(map(tuple, decontamination.find_leaks(docs, bench).collect()))
+    kept = lambda: Counter(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect())
+    one, left = shown(), kept()
+    monkeypatch.setattr(decontamination, "AT_ONCE", 100)
+    assert shown() == one and kept() == left and one
+    messy_docs = frame(spark, [(1, prose(50, 40), "en", "s", 0), (1, prose(50, 40), "en", "s", 0), (None, prose(50, 40), "en", "s", 0), (4, None, "en", "s", 0), (5, "", "en", "s", 0)], clash=True)
+    odd = spark.createDataFrame([(1, prose(50, 40)), (1, prose(50, 40)), (2, None), (3, ""), (None, prose(51, 30))], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(messy_docs, odd).collect()) == {(1, 1): 4, (None, 1): 2}
+    out = decontamination.drop_leaks(messy_docs, odd)
+    assert out.columns == messy_docs.columns and sorted(r.doc_id for r in out.collect()) == [4, 5]
+
+
+def test_an_item_is_found_by_its_rare_seeds_or_not_at_all():
+    """What the common seeds alone cover is under the share: a document without a rare seed can't be found."""
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        n, size, share = int(r.integers(3, 40)), 3, float(r.choice([0.3, 0.6, 1.0]))
+        grams = r.integers(0, 12, n - size + 1).astype(np.uint64)
+        often = r.integers(1, 5, 12)[grams.astype(int)]
+        rare = decontamination.rare_seeds(grams, often, size, n, share)
+        words = np.zeros(n, bool)
+        for i in np.flatnonzero(~np.isin(grams, rare)):
+            words[i : i + size] = True
+        assert words.sum() < share * n and len(rare)
+
+
 # 3: substring dedup
 
 
@@ -319,7 +347,7 @@ def test_only_repeated_windows_are_extended(spark, small, monkeypatch):
 def test_bitmaps_know_all_members(spark):
     keys = np.random.default_rng(0).integers(-(2**63), 2**63, 5000, np.int64)
     df = spark.createDataFrame([(int(k),) for k in keys], "key long")
-    a, b = substring_dedup.filters([(df, 5000), (df.limit(0), 0)])
+    a, b = common.filters([(df, 5000), (df.limit(0), 0)])
     assert a.value.has(keys).all() and not b.value.has(keys).any()
     assert a.value.has(np.random.default_rng(1).integers(-(2**63), 2**63, 100_000, np.int64)).mean() < 0.01
 
