@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import guarded, kind_of, slices
@@ -20,29 +21,36 @@ WORDS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Band:
-    """A document inside all limits stays."""
+    """A document inside all limits stays. The limits of characters a token give way by low or high over the square root of
+    the number of tokens, as a short text's mean says less; entropy need not be over `entropy_share` of what so many pieces
+    can have at most."""
 
     min_chars_per_token: float
     max_chars_per_token: float
+    low: float
+    high: float
     max_fallback: float
     min_entropy: float
-    max_entropy: float
+    entropy_share: float
 
 
-#: By language code; then by script; "" is for everything else.
+#: By language code; then by script; "" is for everything else. The languages' bands are those of fit_bands() for the rows
+#: that labels call good (quality 1) at sf0.1; of scripts there are no labelled rows, and their bands are wide ones set by
+#: hand. So are the most characters a token (MOST): good prose from elsewhere has more of them than these rows.
+MOST = (8.0, 3.0)
 BANDS: dict[str, Band] = {
-    "en": Band(2.10, 8.0, 0.08, 5.3, 13.0),
-    "fr": Band(1.92, 8.0, 0.08, 5.2, 13.0),
-    "de": Band(1.965, 8.0, 0.08, 5.2, 13.0),
-    "es": Band(1.95, 8.0, 0.08, 5.2, 13.0),
-    "Latin": Band(1.6, 8.0, 0.10, 5.0, 13.0),
-    "Cyrillic": Band(1.0, 6.0, 0.10, 5.0, 13.0),
-    "Han": Band(0.3, 3.0, 0.75, 5.0, 13.0),
-    "": Band(0.2, 8.0, 0.98, 4.5, 13.0),
+    "en": Band(2.490, 8.0, 5.98, 3.0, 0.093, 6.271, 0.642),
+    "fr": Band(2.248, 8.0, 4.05, 3.0, 0.096, 6.109, 0.649),
+    "de": Band(2.553, 8.0, 7.38, 3.0, 0.096, 6.222, 0.634),
+    "es": Band(2.306, 8.0, 3.55, 3.0, 0.055, 6.080, 0.672),
+    "Latin": Band(1.6, 8.0, 6.0, 3.0, 0.10, 5.0, 0.6),
+    "Cyrillic": Band(1.0, 6.0, 6.0, 3.0, 0.10, 5.0, 0.6),
+    "Han": Band(0.3, 3.0, 1.0, 3.0, 0.75, 5.0, 0.6),
+    "": Band(0.2, 8.0, 1.0, 3.0, 0.98, 4.5, 0.5),
 }
 
-#: A short text's figures say little: fertility and entropy are judged from so many tokens on.
-MIN_TOKENS, MIN_ENTROPY_TOKENS = 64, 128
+#: fit_bands() takes at most so many rows of a band; texts from LONG tokens on set the limits, and all the leeway of short ones.
+FIT_ROWS, LONG, MARGIN = 5000, 512, 0.25
 
 _SCRIPTS = {
     "Latin": r"[A-Za-zÀ-ɏ]",
@@ -104,6 +112,34 @@ def measure(
     return narrow.mapInArrow(run, METRICS.format(kind=kind_of(docs, id_col)) + "".join(f", __ql_{i} {kinds[f'__ql_{i}']}" for i in range(len(keep))))
 
 
+def fit_bands(docs: DataFrame, good: DataFrame, rows: int = FIT_ROWS, long: int = LONG, margin: float = MARGIN, tokenizer_dir: str = TOKENIZER_DIR) -> dict[str, Band]:
+    """Bands by language from rows known to be good: ids in good.doc_id, of which at most `rows` a band are taken, those with
+    the least hashes of the id. The most characters a token are MOST, with its leeway, and not fitted.
+
+    Limits are the extremes of the texts of `long` tokens and over, moved out by `margin` of their distance from the median.
+    Leeways are the least with which all shorter texts are inside, and that margin more. Bands without long texts aren't there."""
+    ids = good.select("doc_id").where("doc_id is not null").distinct()
+    order = W.partitionBy("band").orderBy(F.xxhash64("doc_id"), "doc_id")
+    taken = measure(docs.join(ids, "doc_id", "left_semi"), tokenizer_dir).where("n_tokens > 0").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    by: dict[str, list] = {}
+    for r in taken.select("band", "n_tokens", "n_pieces", "chars_per_token", "token_entropy", "fallback_share").collect():
+        by.setdefault(r[0], []).append(tuple(r)[1:])
+    out: dict[str, Band] = {}
+    for band, found in sorted(by.items()):
+        n, pieces_, per, bits, share = np.array(found, np.float64).T
+        far = n >= long
+        if not far.any():
+            continue
+        mid = np.median(per[far])
+        low = per[far].min() - margin * (mid - per[far].min())
+        least = bits[far].min() - margin * (np.median(bits[far]) - bits[far].min())
+        short = (bits < least) & (pieces_ > 1)
+        part = (bits[short] / np.log2(pieces_[short])).min() if short.any() else 1.0
+        leeway = (1 + margin) * max(0.0, float(((low - per) * np.sqrt(n)).max()))
+        out[band] = Band(*[round(float(x), 3) for x in (low, MOST[0], leeway, MOST[1], share.max() * (1 + margin), least, 1 - (1 - part) * (1 + margin))])
+    return out
+
+
 def reason(bands: dict[str, Band] = BANDS) -> Column:
     """The first limit that a row of measure() breaks, or null: 'empty', 'fallback', 'fertility', 'entropy'."""
 
@@ -114,20 +150,20 @@ def reason(bands: dict[str, Band] = BANDS) -> Column:
                 out = F.when(F.col("band") == key, F.lit(getattr(band, name))).otherwise(out)
         return out
 
-    n, per, bits = F.col("n_tokens"), F.col("chars_per_token"), F.col("token_entropy")
+    n, per, root = F.col("n_tokens"), F.col("chars_per_token"), F.sqrt(F.col("n_tokens").cast("double"))
+    possible = F.log2(F.greatest(F.col("n_pieces"), F.lit(1)).cast("double"))
     return (
         F.when(n == 0, F.lit("empty"))
         .when(F.col("fallback_share") > pick("max_fallback"), F.lit("fallback"))
-        .when((n >= MIN_TOKENS) & ((per < pick("min_chars_per_token")) | (per > pick("max_chars_per_token"))), F.lit("fertility"))
-        .when((n >= MIN_ENTROPY_TOKENS) & ((bits < pick("min_entropy")) | (bits > pick("max_entropy"))), F.lit("entropy"))
+        .when((per < pick("min_chars_per_token") - pick("low") / root) | (per > pick("max_chars_per_token") + pick("high") / root), F.lit("fertility"))
+        .when(F.col("token_entropy") < F.least(pick("min_entropy"), pick("entropy_share") * possible), F.lit("entropy"))
     )
 
 
 def quality_rules(docs: DataFrame, bands: dict[str, Band] = BANDS, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """measure() of the rows that break no limit of their band. Fertility is not judged under MIN_TOKENS tokens, nor
-    entropy under MIN_ENTROPY_TOKENS: of 571 documents labelled quality 0 at sf0.1, 163 are kept, 22 of them only
-    for that. Rows with a null or empty text are rejected; repeated rows are judged alike; a table without rows
-    gives none."""
+    """measure() of the rows that break no limit of their band. Texts of any length are judged; README has how many of the
+    rows that labels call bad are kept. Rows with a null or empty text are rejected; repeated rows are judged alike; a table
+    without rows gives none."""
     return measure(docs, tokenizer_dir).where(reason(bands).isNull())
 
 
