@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, Words, guarded, hash128, kind_of, mix64, slices
+from .common import BROADCAST_BYTES, Table, Words, guarded, hash128, kind_of, mix64, slices
 
 BITS, WORDS64 = 256, 4
 BINS = 128
@@ -464,7 +464,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLA
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = OVERLAP, shard_nodes: int | None = None) -> DataFrame:
     """The rows of docs, with all their columns, without all but one row of each group of near_duplicates().
 
-    Rows equal in id and text count as copies: one stays. Only ids and hashes of rows that go are shuffled."""
+    Rows equal in id and text count as copies: one stays. Ids and hashes of rows that go are broadcast while they are small
+    (their files within an eighth of BROADCAST_BYTES), else joined by shuffle."""
     groups = Groups(docs, radius, least, shard_nodes)
     stay = groups.kept.select("root", *[F.col(c).alias(f"k_{c}") for c in ("doc_id", "h", "g")])
     keys = groups.rows.groupBy("doc_id", "h", "g", "root").agg(F.count(F.lit(1)).alias("times")).join(stay, "root")
@@ -475,7 +476,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, least: float = O
     on = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(x) == F.col(h)) & (F.col(y) == F.col(g))
     names = [F.col(f"`{c}`") for c in docs.columns]
     left = docs.withColumns(dict(zip((x, y), hash128(F.col("text")))))
-    out = left.join(go.df, on, "left_anti").select(*names)
+    held = F.broadcast(go.df) if go.bytes() * 8 <= BROADCAST_BYTES else go.df
+    out = left.join(held, on, "left_anti").select(*names)
     twice = go.df.where(F.col(one))
     if not twice.isEmpty():
         again = left.join(twice, on, "left_semi").dropDuplicates(["doc_id", x, y])
