@@ -20,10 +20,13 @@ _PAGE = """<!doctype html><meta charset=utf-8><title>SPARQL</title>
 
 
 class Endpoint:
-    """Queries go to the engine, or to the current version of the store; uploads need a store."""
+    """Queries go to the engine, or to the current version of the store; uploads need a store. Bodies over max_body bytes are
+    refused, and connections that are silent for `timeout` seconds are closed. Results come to the driver whole: what is larger
+    than its memory is written with SparqlResult.write instead."""
 
-    def __init__(self, engine: Engine | None = None, store: QuadStore | None = None):
+    def __init__(self, engine: Engine | None = None, store: QuadStore | None = None, max_body: int = 64 << 20, timeout: float = 15):
         self.engine, self.store, self.lock = engine, store, threading.Lock()
+        self.max_body, self.timeout = max_body, timeout
 
     def query(self, text: str, accept: str | None) -> tuple[int, str, str]:
         """(status, media type, body)."""
@@ -58,6 +61,8 @@ class Endpoint:
         me = self
 
         class Handler(BaseHTTPRequestHandler):
+            timeout = me.timeout
+
             def reply(self, status: int, media: str, body: str) -> None:
                 raw = body.encode("utf-8")
                 self.send_response(status)
@@ -84,7 +89,11 @@ class Endpoint:
                 return self.reply(*me.query(found[0], self.headers.get("Accept")))
 
             def do_POST(self) -> None:  # noqa: N802
-                body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+                size = self.headers.get("Content-Length") or "0"
+                if not size.isdecimal() or int(size) > me.max_body:
+                    self.close_connection = True
+                    return self.reply(413 if size.isdecimal() else 400, "application/json", json.dumps({"error": f"a body has at most {me.max_body} bytes"}))
+                body = self.rfile.read(int(size))
                 media, path = self.headers.get("Content-Type") or "", urlsplit(self.path).path
                 if path == "/data":
                     return self.reply(*me.upload(body, media))

@@ -134,7 +134,7 @@ def test_triple_terms_are_stored_and_matched(spark, tmp_path):
 
 
 def test_endpoint(spark, tmp_path):
-    server = Endpoint(store=QuadStore(spark, f"file://{tmp_path}/store")).server(port=0)
+    server = Endpoint(store=QuadStore(spark, f"file://{tmp_path}/store"), max_body=1000).server(port=0)
     at = f"http://127.0.0.1:{server.server_address[1]}"
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
@@ -156,6 +156,7 @@ def test_endpoint(spark, tmp_path):
         assert ask("/sparql", ("query=" + quote("ASK {}")).encode(), Content_Type="application/x-www-form-urlencoded", Accept="text/csv")[2] == "result\r\ntrue\r\n"
         assert ask("/sparql?query=" + quote("CONSTRUCT WHERE { ?s ?p ?o }"))[1]["Content-Type"].startswith("application/n-triples")
         assert ask("/sparql?query=SELECT")[0] == 400 and ask("/sparql")[0] == 400 and ask("/nowhere")[0] == 404 and ask("/")[0] == 200
+        assert ask("/data", b"#" * 1001, Content_Type="text/turtle")[0] == 413
         assert ask("/data", b"<a", Content_Type="text/turtle")[0] == 400 and ask("/data", b"", Content_Type="image/png")[0] == 415
     finally:
         server.shutdown()
