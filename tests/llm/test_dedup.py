@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import common, decontamination, line_dedup, simhash, substring_dedup
 from quadrille.llm.common import Words, window_hashes
@@ -166,6 +167,40 @@ def test_recall_of_each_search_is_kept(spark, small):
     assert simhash.RECALL <= groups.recall <= 1
 
 
+def test_links_of_all_pairs_are_found_by_few_comparisons(monkeypatch):
+    """Of nodes with all bins or few, links at the least overlap too, while few of all pairs are compared."""
+    rng, compared, distances = np.random.default_rng(5), [], simhash.distances
+    monkeypatch.setattr(simhash, "distances", lambda a, b: compared.append(len(a) * len(b)) or distances(a, b))
+    for n in (6_000, 24_000):
+        codes, sketches = clusters(n, n // 10, 0.12), rng.integers(1, 256, (n, simhash.BINS), np.uint8)
+        sketches[: n // 2][rng.random((n // 2, simhash.BINS)) < 0.9] = 0
+        partners = sketches[: n // 10].copy(), sketches[n // 2 : n // 2 + n // 10].copy()
+        codes = np.concatenate((codes, codes[n // 2 : n // 2 + n // 10]))
+        for x in partners:
+            x[(rng.random(x.shape) < rng.choice([0.1, 0.3, 0.5], (len(x), 1))) & (x > 0)] ^= 1
+        sketches = np.concatenate((sketches, *partners))
+        order = rng.permutation(len(codes))
+        ids, codes, sketches = np.arange(len(codes)), codes[order], sketches[order]
+        where = np.argsort(order)
+        at = [(where[i], where[n + i]) for i in range(n // 10)] + [(where[n // 2 + i], where[n + n // 10 + i]) for i in range(n // 10)]
+        due = [(a, b) for a, b in at if distances(codes[a : a + 1], codes[b : b + 1])[0, 0] <= simhash.RADIUS and simhash.overlap(sketches[a : a + 1], sketches[b : b + 1])[0] >= simhash.OVERLAP]
+        compared.clear()
+        sets = simhash.Union()
+        simhash.link(sets, ids, codes, sketches, simhash.RADIUS, simhash.OVERLAP, 0)
+        assert sum(compared) < len(ids) ** 2 / 50
+        assert len(due) > n // 10 and sum(sets.root(a) == sets.root(b) for a, b in due) >= 0.995 * len(due)
+
+
+def test_recall_is_that_of_all_pairs(spark, small, monkeypatch):
+    """The audit tells links that the search misses: without any keys in common there are none but copies."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert simhash.Groups(docs).recall >= 0.99
+    none = lambda rows, radius, least, level: rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    monkeypatch.setattr(simhash, "_searched", none)
+    with pytest.raises(RuntimeError):
+        simhash.Groups(docs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.root for r in simhash.components(edges).df.collect()}
