@@ -4,8 +4,10 @@ Level 25 is sampled by its content: of the 26 windows of 25 words in each window
 least hash is the anchor. Equal windows of 50 words have equal anchors at the same place, so nothing of
 50 words or over is missed. Anchors are counted with map-side sums, eight bytes each; those that occur once
 end there. Around the others the windows of 50 words are compared, all of them, which gives the spans to
-the word. Windows that repeat at one length alone are extended to twice that length, until none repeats:
-from 100 words on, those are compared whose least window of 25 words is their first.
+the word. Windows that repeat at one length alone are extended to twice that length, until none repeats.
+Of a window of 100 words, the 50 that begin or the 50 that end with its least window of 25 words lie within it (or
+both do), and repeat if it does; of these halves the repeated ones are remembered, and so on. All windows are
+compared whose halves are among them.
 
 What survived a level comes back to the texts as a bitmap of bounded size, and not by a shuffle of texts. A
 hash that is in the bitmap by accident costs a comparison and changes no result."""
@@ -13,7 +15,7 @@ hash that is in the bitmap by accident costs a comparison and changes no result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, Words, filters, guarded, integer_ids, slices, window_hashes
+from .common import Filter, Table, Words, filters, guarded, integer_ids, mix64, slices, window_hashes
 
 BASE = 25
 LENGTH = 2 * BASE
@@ -31,6 +33,7 @@ LENGTH = 2 * BASE
 #: counted one by one, with map-side sums, instead of meeting in one task.
 HOT, MANY = 20_000, 50_000
 _UNIT = 6  # bytes of a window's hash beside its anchor's 8
+_TOGETHER = BASE + 1  # windows that a packed row has at most
 _ROW = "anchor long, doc long, pos int, first int, n int, hashes binary"
 _RUN = "doc long, s long, e long, words long, extra boolean, key long"
 _WINDOW = "a long, key long, doc long, pos long"
@@ -65,20 +68,27 @@ class Anchored:
         n = max(len(self.tokens) - length + 1, 0)
         return np.flatnonzero(np.arange(n) + length <= self.end[:n])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, first window of 50 words that has it, how many have it) of the slice, and all those windows."""
-        start = self.starts(LENGTH)
+    def anchors(self, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, first window of this length that has it, how many have it) of the slice, and all those windows."""
+        start = self.starts(length)
         if not len(start):
             return (np.empty(0, np.int64),) * 4
-        anchor = least(self.h25, BASE + 1)[start]
+        anchor = least(self.h25, length - BASE + 1)[start]
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
         return anchor[new], start[new], np.diff(np.r_[new, len(start)]), start
 
-    def sampled(self, length: int) -> np.ndarray:
-        """Starts of the windows of this length whose least window of 25 words is their first. One that starts at
-        such a place and is half as long is sampled too."""
-        start = self.starts(length)
-        return start[least(self.h25, length - BASE + 1)[start] == start] if len(start) else start
+    def extended(self, length: int, known: Filter) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, start) of the windows of this length whose halves beside the anchor, so far as they are within, are known."""
+        anchor, _, n, start = self.anchors(length)
+        if not len(start):
+            return anchor, start
+        half = length // 2
+        h = window_hashes(self.tokens, half) << np.uint64(16)
+        after = known.has(h[np.minimum(anchor, len(h) - 1)])
+        before = known.has(h[np.maximum(anchor + BASE - half, 0)])
+        at = np.repeat(anchor, n)
+        go = (np.repeat(after, n) | (at - start > half)) & (np.repeat(before, n) | (at - start < half - BASE))
+        return at[go], start[go]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -104,6 +114,13 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def _blob(windows: np.ndarray, n: np.ndarray) -> pa.Array:
+    """_UNIT bytes of each window's hash, n windows a value."""
+    data = np.ascontiguousarray(windows).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_UNIT]
+    bounds = np.concatenate(([0], np.cumsum(n))) * _UNIT
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def packed_windows(rows: DataFrame, known: Broadcast, hot: Broadcast) -> DataFrame:
     """_ROW of each repeated anchor in each text, but of hot ones: the windows of 50 words around it, as hashes."""
 
@@ -120,18 +137,15 @@ def packed_windows(rows: DataFrame, known: Broadcast, hot: Broadcast) -> DataFra
                 if not go.any():
                     continue
                 units = window_hashes(t.tokens, LENGTH)[start[np.repeat(go, n)]]
-                data = np.ascontiguousarray(units).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_UNIT]
                 anchor, first, n = anchor[go], first[go], n[go]
-                bounds = np.concatenate(([0], np.cumsum(n))) * _UNIT
-                blob = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
                 own = t.text[anchor]
-                cols = [pa.array(t.h25[anchor].view(np.int64)), pa.array(ids[at + own]), *[pa.array(x.astype(np.int32)) for x in (anchor - t.offsets[own], first - anchor, n)], blob]
+                cols = [pa.array(t.h25[anchor].view(np.int64)), pa.array(ids[at + own]), *[pa.array(x.astype(np.int32)) for x in (anchor - t.offsets[own], first - anchor, n)], _blob(units, n)]
                 yield pa.RecordBatch.from_arrays(cols, names=["anchor", "doc", "pos", "first", "n", "hashes"])
 
     return rows.mapInArrow(emit, _ROW)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, doc): the windows that two documents have, as runs. State is kept for the
     anchor that a batch ends in: a window with its documents so far, not its occurrences."""
     carry: tuple[np.ndarray, ...] | None = None
@@ -156,9 +170,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             key = units ^ (anchor[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         ends = anchor == anchor[-1]
-        # of a window that begins with its anchor the hash is kept, for the next level
-        sample = np.where(first[row] + k == 0, (units << np.uint64(16)).view(np.int64), 0)
-        cols = [key, doc[row], (pos[row] + first[row] + k).astype(np.int64), sample, np.zeros(len(key), bool), ends[row]]
+        # of a window that begins or ends with its anchor the hash is kept, for the next level
+        place = first[row] + k
+        sample = np.where((place == 0) | (place == BASE - length), (units << np.uint64(16)).view(np.int64), 0)
+        cols = [key, doc[row], (pos[row] + place).astype(np.int64), sample, np.zeros(len(key), bool), ends[row]]
         if goes_on:
             cols = [np.concatenate(x) for x in zip((*carry, np.full(len(carry[0]), ends[0])), cols)]
         order = np.lexsort((cols[2], cols[1], cols[0]))
@@ -170,7 +185,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             original = docs == np.repeat(docs[lo], size)  # the lowest id keeps its passage
             out = np.flatnonzero(shared & ~done)
             if len(out):
-                yield _runs(docs[out], places[out], ~original[out], samples[out])
+                yield _runs(docs[out], places[out], ~original[out], samples[out], length)
             # of a shared window one row stays as a mark (its lowest document), of others all rows
             mark = np.zeros(len(keys), bool)
             mark[lo] = True
@@ -181,8 +196,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry_anchor = anchor[-1]
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, sample: np.ndarray) -> pa.RecordBatch:
-    """_RUN rows of windows of 50 words, neighbours as one; a window with a sample is a row of its own too."""
+def _runs(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, sample: np.ndarray, length: int) -> pa.RecordBatch:
+    """_RUN rows of windows of this length, neighbours as one; a window with a sample is a row of its own too."""
     order = np.lexsort((at, extra, doc))
     doc, at, extra, sample = doc[order], at[order], extra[order], sample[order]
     step = (doc[1:] != doc[:-1]) | (extra[1:] != extra[:-1]) | (at[1:] > at[:-1] + 1)
@@ -192,40 +207,68 @@ def _runs(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, sample: np.ndarray
     a, z = np.r_[lo, one], np.r_[hi, one]
     key = pa.array(np.r_[np.zeros(len(lo), np.int64), sample[one]], mask=np.arange(len(a)) < len(lo))
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[a]), pa.array(at[a]), pa.array(at[z] + LENGTH), pa.array(np.full(len(a), LENGTH)), pa.array(extra[a]), key],
+        [pa.array(doc[a]), pa.array(at[a]), pa.array(at[z] + length), pa.array(np.full(len(a), length)), pa.array(extra[a]), key],
         names=["doc", "s", "e", "words", "extra", "key"],
     )
 
 
-def extended(rows: DataFrame, length: int, known: Broadcast, live: Broadcast | None) -> DataFrame:
-    """_WINDOW rows of the sampled windows of this length whose first half is known to repeat, in live documents. At
-    50 words (without live) they are all windows of the known anchors."""
+def hot_windows(rows: DataFrame, hot: Broadcast) -> DataFrame:
+    """_WINDOW rows of all windows of 50 words of the hot anchors."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if live is not None:
-                b = b.filter(pa.array(live.value.has(b.column(1).to_numpy())))
             ids = b.column(0).to_numpy()
             for at, part in slices(b.column(2)):
                 t = Anchored(Words(part))
-                if live is None:
-                    anchor, _, n, start = t.anchors()
-                    go = np.repeat(np.isin(t.h25[anchor].view(np.int64), known.value), n) if len(anchor) else np.zeros(0, bool)
-                    p, a = start[go], t.h25[np.repeat(anchor, n)[go]] if len(anchor) else t.h25[:0]
-                else:
-                    p = t.sampled(length)
-                    half = window_hashes(t.tokens, length // 2)
-                    half = half << np.uint64(16) if length == 2 * LENGTH else half
-                    p = p[known.value.has(half[p])] if len(p) else p
-                    a = t.h25[p]
-                if len(p):
-                    h, own = window_hashes(t.tokens, length)[p], t.text[p]
-                    h = h << np.uint64(16) if length == LENGTH else h  # as units of packed windows are
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[at + own]), pa.array(p - t.offsets[own])], names=["a", "key", "doc", "pos"])
+                anchor, _, n, start = t.anchors()
+                go = np.repeat(np.isin(t.h25[anchor].view(np.int64), hot.value), n) if len(anchor) else np.zeros(0, bool)
+                if go.any():
+                    yield pa.RecordBatch.from_arrays(_single(t, np.repeat(anchor, n)[go], start[go], LENGTH, ids, at), names=["a", "key", "doc", "pos"])
 
     return rows.mapInArrow(emit, _WINDOW)
 
 
+def _single(t: Anchored, a: np.ndarray, p: np.ndarray, length: int, ids: np.ndarray, at: int) -> list[pa.Array]:
+    """Columns of _WINDOW: hashes are as the units of packed windows are."""
+    h = window_hashes(t.tokens, length)[p] << np.uint64(16)
+    return [pa.array(t.h25[a].view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[at + t.text[p]]), pa.array(p - t.offsets[t.text[p]])]
+
+
+def extended(rows: DataFrame, length: int, known: Broadcast, live: Broadcast, hot: Broadcast) -> DataFrame:
+    """All windows of this length in live documents whose halves beside the anchor are known to repeat. Those that begin
+    with their anchor, or whose anchor is hot, are _WINDOW rows; the others are _ROW rows of at most _TOGETHER windows.
+    Equal windows are as far from their anchors, so that an anchor's windows are parted by that distance."""
+    names = ["a", "key", "doc", "pos", "anchor", "first", "n", "hashes"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(live.value.has(b.column(1).to_numpy())))
+            ids = b.column(0).to_numpy()
+            for i, part in slices(b.column(2)):
+                t = Anchored(Words(part))
+                a, p = t.extended(length, known.value)
+                if not len(p):
+                    continue
+                one = (a == p) | np.isin(t.h25[a].view(np.int64), hot.value)
+                if one.any():
+                    cols = _single(t, a[one], p[one], length, ids, i)
+                    yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(cols[0]), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]], names=names)
+                a, p = a[~one], p[~one]
+                if not len(p):
+                    continue
+                block = (a - p) // _TOGETHER
+                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1) | (block[1:] != block[:-1])])
+                n = np.diff(np.r_[new, len(p)])
+                at, own = a[new], t.text[a[new]]
+                with np.errstate(over="ignore"):
+                    anchor = mix64(t.h25[at] + block[new].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                none, short = pa.nulls(len(n), pa.int64()), lambda x: pa.array(x.astype(np.int32))
+                cols = [none, none, pa.array(ids[i + own]), pa.array(at - t.offsets[own]), pa.array(anchor), short(p[new] - at), short(n), _blob(window_hashes(t.tokens, length)[p], n)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return rows.mapInArrow(emit, f"{_WINDOW}, anchor long, first int, n int, hashes binary")
+
+
 def _counted(windows: DataFrame, words: int) -> Table | None:
     """_RUN rows of the _WINDOW rows that two documents have; None if there are none. A window of very many documents is one
     row a task in the sums, and in the join it is one that adaptive execution splits."""
@@ -253,22 +296,23 @@ def repeats(docs: DataFrame, hot_rows: int = HOT) -> list[Table]:
     crowded = np.sort(np.array([r[0] for r in anchors.df.where(F.col("n") > limit).select("key").collect()], np.int64))
     hot = spark.sparkContext.broadcast(crowded)
     known = filters([(anchors.df, n)])[0]
-    met = packed_windows(rows, known, hot).repartition("anchor").sortWithinPartitions("anchor", "doc")
-    out = [Table(met.mapInArrow(_meet, _RUN), "repeats")]
+    met = lambda packed, length: Table(packed.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(partial(_meet, length), _RUN), "repeats")
+    out = [met(packed_windows(rows, known, hot), LENGTH)]
     anchors.drop()
-    if len(crowded) and (more := _counted(extended(rows, LENGTH, hot, None), LENGTH)) is not None:
+    if len(crowded) and (more := _counted(hot_windows(rows, hot), LENGTH)) is not None:
         out.append(more)
     length, last = LENGTH, [*out]
     while last:
-        # windows that repeat at this length, and the documents that have them, go on to the next
+        # hashes of windows that repeat at this length, and the documents that have them, go on to the next
         now = reduce(DataFrame.unionByName, [t.df for t in last]).where("key is not null")
         size = now.count()
-        if not size:
-            break
         known, live = filters([(now.select("key"), size), (now.select(F.xxhash64("doc").alias("key")), size)])
         length *= 2
-        more = _counted(extended(rows, length, known, live), length)
-        last = [] if more is None else [more]
+        every = Table(extended(rows, length, known, live, hot), "extended")
+        single = every.df.where("hashes is null").select("a", "key", "doc", "pos")
+        packed = every.df.where("hashes is not null").select("anchor", "doc", F.col("pos").cast("int").alias("pos"), "first", "n", "hashes")
+        last = [t for t in (_counted(single, length), met(packed, length)) if t is not None and not t.df.isEmpty()]
+        every.drop()
         out += last
     return out
 
@@ -286,7 +330,7 @@ def _islands(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, extra_only: bool = False, hot_rows: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, longest): the spans of each document whose every word is in a passage
     of at least 50 words that another document has too; longest is the greatest level (50, 100, 200, ...)
-    at which a sampled window in it still repeats. With extra_only, passages count only in documents other than the one
+    at which a window in it still repeats. With extra_only, passages count only in documents other than the one
     with the lowest id.
 
     Words are runs of letters, marks and digits, in lower case; places count words from 0. Ids are integers. Rows with the

@@ -351,6 +351,37 @@ def test_passages_of_all_lengths_and_levels(spark):
     assert substring_dedup.substring_dedup(docs).columns == docs.columns
 
 
+def slow_longest(docs, spans):
+    """The greatest of 50, 100, 200, ... words of a window inside each span that another document has."""
+    texts, out = {d: words(t) for d, t in docs if d is not None}, {(d, s): 0 for d, s, _ in spans}
+    length = 50
+    while length <= max(len(w) for w in texts.values()):
+        seen = defaultdict(set)
+        for d, w in texts.items():
+            for i in range(len(w) - length + 1):
+                seen[hash(tuple(w[i : i + length]))].add(d)
+        for d, s, e in spans:
+            w = texts[d]
+            if any(len(seen[hash(tuple(w[i : i + length]))]) > 1 for i in range(s, e - length + 1)):
+                out[d, s] = length
+        length *= 2
+    return out
+
+
+def test_longest_is_that_of_all_windows(spark, small):
+    """Passages of exactly a level's words have one window of it, wherever its least hash is."""
+    rows = []
+    for i, n in enumerate([99, 100, 100, 100, 101, 130, 199, 200, 200, 205, 400, 400, 410, 805]):
+        rows += [(3 * i + j, prose(900 + 3 * i + j, 20 + 7 * j) + " " + prose(800 + i, n) + " " + prose(1200 + 3 * i + j, 30)) for j in (1, 2)]
+    made = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for d in (made, docs):
+        held = [tuple(r) for r in d.select("doc_id", "text").collect()]
+        for hot in (substring_dedup.HOT, 1):
+            got = substring_dedup.repeated_spans(d, hot_rows=hot).collect()
+            assert {(r.doc_id, r.start_word): r.longest for r in got} == slow_longest(held, [(r.doc_id, r.start_word, r.end_word) for r in got])
+
+
 def test_hot_anchors_give_the_same_spans(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert {tuple(r) for r in substring_dedup.repeated_spans(docs, hot_rows=2).collect()} == {tuple(r) for r in substring_dedup.repeated_spans(docs).collect()}
