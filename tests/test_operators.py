@@ -9,7 +9,7 @@ from quadrille import Engine, IRI, Literal, Quad
 from quadrille.plans import algebra as A
 from quadrille.plans.compiler import Compiler
 from quadrille.plans.parser import parse
-from quadrille.sources.graphs import QuadGraph
+from quadrille.sources.graphs import MappedGraph, QuadGraph
 from quadrille.terms import QUADS, from_struct
 from quadrille.functions import values as V
 
@@ -201,3 +201,32 @@ def test_closure_of_a_long_chain(spark):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     start = spark.createDataFrame([(3,), (20,)], "a int")
     assert {tuple(r) for r in closure(edges, start).collect()} == {x for x in want if x[0] in (3, 20)}
+
+
+def test_pairs_are_spread_over_tasks(spark, tmp_path):
+    """Joins of which each row meets many have tasks by the session's number, not by their inputs' few bytes; each pair comes once."""
+    from pyspark.sql import functions as F
+
+    n = 60
+    spark.range(n).selectExpr("id c_custkey", "'c' || id c_name", "cast(id % 2 as int) c_nationkey", "0d c_acctbal", "'BUILDING' c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id s_suppkey", "'s' || id s_name", "cast(id % 2 as int) s_nationkey", "0d s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    engine = Engine.over_tables(spark, str(tmp_path))
+    p = "PREFIX c: <http://ex/customer#> PREFIX s: <http://ex/supplier#> "
+    # every value by all pairs, each side in one file
+    for query, want in (
+        ("SELECT ?x ?y { ?a s:s_nationkey ?n ; s:s_name ?x . ?b c:c_nationkey ?n ; c:c_name ?y }", n * n // 2),
+        ("SELECT ?x ?y { ?a s:s_name ?x . ?b c:c_name ?y }", n * n),
+    ):
+        spark.range(2).selectExpr("cast(id as int) n_nationkey", "'n' n_name", "0 n_regionkey").write.mode("overwrite").parquet(f"{tmp_path}/nation.parquet")
+        bytes_of = MappedGraph._bytes
+        MappedGraph._bytes = lambda self, name: 1 if name == "nation" else 100
+        try:
+            df = engine.query(p + query)
+        finally:
+            MappedGraph._bytes = bytes_of
+        rows = df.collect()
+        assert len(rows) == len(set(rows)) == want
+        assert df.select(F.spark_partition_id()).distinct().count() > 1, query
+    # a value that OPTIONAL binds on one side
+    got = engine.query(p + "SELECT ?x ?y ?k { { ?a s:s_name ?x OPTIONAL { ?a s:s_acctbal ?k FILTER(STRENDS(?x, '1')) } } { ?b c:c_name ?y ; c:c_acctbal ?k } }")
+    assert got.count() == got.distinct().count() == n * n
