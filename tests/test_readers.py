@@ -131,3 +131,41 @@ def test_isomorphism():
     assert not isomorphic([Quad(iri("a"), iri("p"), BNode("x"), iri("g"))], [Quad(iri("a"), iri("p"), BNode("x"))])
     assert same_solutions([{"a": BNode("x"), "b": BNode("x")}], [{"a": BNode("y"), "b": BNode("y")}])
     assert not same_solutions([{"a": BNode("x"), "b": BNode("x")}], [{"a": BNode("y"), "b": BNode("z")}])
+
+
+def test_large_files_are_parsed_in_parts(spark, tmp_path, monkeypatch):
+    """Parts of a file have the quads of the whole: prefixes that change, statements, brackets and graphs over many lines, dots and braces that end nothing."""
+    from quadrille.sources import files
+
+    rows = ["@prefix x: <http://x/0/> ."]
+    trig = list(rows)
+    for i in range(300):
+        rows += [f"@prefix x: <http://x/{i // 50}/> . # a dot . {{" if i % 50 == 0 else "# . }", f'x:a.{i} x:p "a . b # {{ {i}" ,', f"  1.5 , _:b{i % 7} ;", "  x:q [ x:r 2.0 ;", f"    x:s ( {i} x:t ) ] ."]
+        trig += [f"GRAPH x:g{i % 5}", "{ x:a x:p [ x:v", f" {i} ] . x:b x:p {i} ; x:q <http://e/{{|}}.> }}", f"x:c x:d {i} . PREFIX x: <http://x/{i // 90}/>"]
+    rows[1] = rows[1].replace("{", "(")
+    for form, text in (("turtle", "\n".join(rows)), ("trig", "\n".join(trig))):
+        name = tmp_path / f"d.{form}"
+        name.write_text(text.replace("http://e/{|}.", "http://e/."))
+        monkeypatch.setattr(files, "LARGE", 1 << 60)
+        want = read_rdf(spark, str(name), form).collect()
+        monkeypatch.setattr(files, "LARGE", 0)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            parts, whole = files.read_parts(spark, [str(name)], form)
+            assert not whole and parts.rdd.getNumPartitions() > 4
+            got = read_rdf(spark, str(name), form).collect()
+            # long strings and BASE: whole, as nothing is known of a line by itself
+            for odd in ('\nx:l x:p """a\n. {""" .', "\nBASE <http://b/> <c> <d> <e> ."):
+                (tmp_path / f"odd.{form}").write_text(name.read_text() + odd)
+                assert files.read_parts(spark, [str(tmp_path / f"odd.{form}")], form)[0] is None
+                assert read_rdf(spark, str(tmp_path / f"odd.{form}"), form).count() == len(want) + 1
+            (tmp_path / f"bad.{form}").write_text(name.read_text() + "\nx:l .")
+            with pytest.raises(Exception, match=f"line {text.count(chr(10)) + 2}:"):
+                read_rdf(spark, str(tmp_path / f"bad.{form}"), form).count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        parsed = lambda rs: [Quad(*(None if t is None else IRI(t) if isinstance(t, str) else from_struct(tuple(t)) for t in r)) for r in rs]
+        plain = lambda qs: sorted(repr((q.p, q.o if "BNode" not in repr(q.o) else "_", q.s if "BNode" not in repr(q.s) else "_", q.g)) for q in qs)
+        assert len(got) == len(want) and plain(parsed(got)) == plain(parsed(want))
