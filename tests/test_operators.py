@@ -230,3 +230,10 @@ def test_pairs_are_spread_over_tasks(spark, tmp_path):
     # a value that OPTIONAL binds on one side
     got = engine.query(p + "SELECT ?x ?y ?k { { ?a s:s_name ?x OPTIONAL { ?a s:s_acctbal ?k FILTER(STRENDS(?x, '1')) } } { ?b c:c_name ?y ; c:c_acctbal ?k } }")
     assert got.count() == got.distinct().count() == n * n
+
+
+def test_construct_spreads_solutions_before_triples(spark, small):
+    """Triples are made of solutions that were dealt out to tasks: a file of solutions isn't one task's hash table of triples."""
+    df = Engine.over_tables(spark, small).sparql("PREFIX c: <http://ex/customer#> CONSTRUCT { ?c c:n ?n . ?c c:b ?b } { ?c c:c_name ?n ; c:c_acctbal ?b }").triples()
+    assert "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString().split("Generate ", 1)[1]
+    assert df.count() == 300
